@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from reviewlens.functions.text import category_from_file_name, count_words, normalise_category  # noqa: E402
+from reviewlens.functions.text import (  # noqa: E402
+    category_from_file_name,
+    count_words,
+    explode_words,
+    normalise_category,
+)
 from reviewlens.operators import ratings, sentiment, words  # noqa: E402
 from reviewlens.plans import tables  # noqa: E402
 from reviewlens.sources import files  # noqa: E402
@@ -92,6 +97,12 @@ def _union_parts(spark: SparkSession, folder: str) -> DataFrame:
     return _reviews_and_words(union)
 
 
+def _top_words_stop_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of another table's texts as stop words."""
+    texts = tables.read_table(spark, folder, "benchmark").select("text")
+    return words.top_words(tables.spread_text(spark, folder), stop_words=explode_words(texts, "text"))
+
+
 def _reviews_and_words(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("product_category").agg(
         F.count("*").alias("n_reviews"), F.sum(count_words(F.col("review_body"))).alias("n_words")
@@ -159,6 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_helpful": _votes(ratings.top_helpful),
         "top_words": _texts(words.top_words, stop_words=STOP_WORDS),
         "top_words_no_numbers": _texts(words.top_words, stop_words=STOP_WORDS, drop_numbers=True),
+        "top_words_stop_table": _top_words_stop_table,
         "top_words_overall": _texts(words.top_words_overall, stop_words=STOP_WORDS),
         "top_word_lists": _texts(_top_word_lists),
         "top_headline_words": _texts(words.top_headline_words, stop_words=STOP_WORDS),
@@ -211,8 +223,8 @@ def _words_of(text: str) -> str:
 
 
 _STOP_LIST = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_TELLING = f"""word NOT IN ({_STOP_LIST}) AND NOT regexp_matches(word, '^[a-z]\\*+$')
-  AND regexp_matches(word, '^[a-z0-9]') AND length(word) <> 1"""
+_FORM = r"""NOT regexp_matches(word, '^[a-z]\*+$') AND regexp_matches(word, '^[a-z0-9]') AND length(word) <> 1"""
+_TELLING = f"{_FORM} AND word NOT IN ({_STOP_LIST})"
 
 
 def _exploded(text: str = "review_body", where: str = "true") -> str:
@@ -327,6 +339,12 @@ def oracle_sql() -> dict[str, str]:
         "top_words_no_numbers": _ranked_words(
             "product_category, star_rating", 10, telling=f"{_TELLING} AND NOT regexp_matches(word, '^[0-9]+$')"
         ),
+        "top_words_stop_table": _ranked_words(
+            "product_category, star_rating",
+            10,
+            telling=f"""{_FORM} AND word NOT IN (
+              SELECT unnest({_words_of('text')}) FROM benchmark)""",
+        ),
         "top_words_overall": _TOP_WORDS_OVERALL,
         "top_word_lists": f"""
             SELECT product_category, star_rating, string_agg(word, ' ' ORDER BY rank) AS words FROM (

@@ -32,8 +32,9 @@ def word_weights(
     rated = reviews.where(is_rating(F.col("star_rating"))).select("star_rating", text)
     found = explode_words(rated, text)
     if filter_words:
-        found = without_stop_words(found.where(is_telling(F.col("word"))), stop_words)
-    return found.groupBy("word").agg(F.avg("star_rating").alias(WEIGHT), F.count("*").alias(N))
+        found = found.where(is_telling(F.col("word")))
+    weights = found.groupBy("word").agg(F.avg("star_rating").alias(WEIGHT), F.count("*").alias(N))
+    return without_stop_words(weights, stop_words if filter_words else None)
 
 
 def word_total(reviews: DataFrame, text: str = "review_body") -> DataFrame:
@@ -95,8 +96,10 @@ def _score_by_parts(found: DataFrame, frequent: DataFrame, rare: DataFrame, key:
     )
     spread = F.xxhash64(key)
     salt = F.when(F.col("word").isNull(), spread).otherwise(F.pmod(spread, F.lit(salts)))
-    copies = rare.drop(N).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    scored = per_review.withColumn("salt", salt).join(copies, ["word", "salt"], "left")
+    numbers = F.array(*[F.lit(i).cast("bigint") for i in range(salts)])
+    copies = rare.drop(N).withColumn("salt", F.explode(numbers))
+    # A hint, as Spark's size estimate leaves the copying out and could broadcast them.
+    scored = per_review.withColumn("salt", salt).join(copies.hint("merge"), ["word", "salt"], "left")
 
     # A row is either the frequent words of a review (no word) or one other word, with a weight or not.
     hits = F.col("known") + F.when(F.col(WEIGHT).isNotNull(), F.col("times")).otherwise(0)

@@ -23,12 +23,13 @@ def word_counts(
 ) -> DataFrame:
     """How often each word occurs in the texts of each group of rated reviews.
 
-    Words are filtered before they are counted, and counted in the map task first, so a word of
-    every review reaches the shuffle once per task and group.
+    Words are counted in the map task first, so a word of every review reaches the shuffle once per
+    task and group. Stop words are taken from the counts: Spark moves a listed or broadcast stop
+    list ahead of the count, and a larger one meets each word once per group.
     """
     rated = reviews.where(is_rating(F.col("star_rating"))).select(*by, text)
     found = explode_words(rated, text).where(is_telling(F.col("word"), drop_numbers))
-    return without_stop_words(found, stop_words).groupBy(*by, "word").agg(F.count("*").alias(N))
+    return without_stop_words(found.groupBy(*by, "word").agg(F.count("*").alias(N)), stop_words)
 
 
 def without_default_headlines(reviews: DataFrame, titles: Sequence[str] = DEFAULT_HEADLINES) -> DataFrame:
