@@ -76,17 +76,21 @@ def _rating_cube(reviews: DataFrame) -> DataFrame:
 
 
 def _category_spelling(reviews: DataFrame) -> DataFrame:
-    spelt = reviews.withColumn("product_category", normalise_category(F.col("product_category")))
+    """Counts per category in one spelling; spelt after a first count, once per category."""
+    counts = ratings.category_counts(reviews)
+    spelt = counts.withColumn("product_category", normalise_category(F.col("product_category")))
     return ratings.category_counts(spelt)
 
 
 def _category_from_file(reviews: DataFrame) -> DataFrame:
-    """Counts per category read back from the name of the file a review would come in."""
-    parts = ["data_reviews", F.lower("marketplace"), "product_category", "v1"]
-    stem = F.concat_ws("_", *[F.lit(p) if isinstance(p, str) and p != "product_category" else p for p in parts])
-    name = F.concat(stem, F.lit("_00.tsv.gz"))
-    named = reviews.withColumn("product_category", category_from_file_name(name))
-    return ratings.category_counts(named.where(F.col("product_category").isNotNull()))
+    """Counts per category, read back from the names of the files that reviews would come in."""
+    country = F.lower("marketplace")
+    name = F.concat(
+        F.lit("data_reviews_"), country, F.lit("_"), F.col("product_category"), F.lit("_v1_00.tsv.gz")
+    )
+    files_of = reviews.groupBy(name.alias("name")).agg(F.count("*").alias("n_reviews"))
+    parsed = files_of.withColumn("product_category", category_from_file_name(F.col("name")))
+    return ratings.category_counts(parsed.where(F.col("product_category").isNotNull()))
 
 
 def _union_parts(spark: SparkSession, folder: str) -> DataFrame:

@@ -101,4 +101,4 @@ def category_from_file_name(name: Column, marketplace: str = "us") -> Column:
     Null for a file of another marketplace or another naming.
     """
     pattern = rf"^[a-z]+_reviews_{marketplace}_(.+)_v\d+_\d+\.tsv\.gz$"
-    return F.when(name.rlike(pattern), F.replace(F.regexp_extract(name, pattern, 1), F.lit("_"), F.lit(" ")))
+    return F.nullif(F.replace(F.regexp_extract(name, pattern, 1), F.lit("_"), F.lit(" ")), F.lit(""))

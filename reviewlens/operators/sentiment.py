@@ -50,7 +50,7 @@ def predict_ratings(
     text: str = "review_body",
     max_broadcast_bytes: int = 32 << 20,
     max_frequent_words: int = 200_000,
-    salts: int = 32,
+    salts: int = 8,
 ) -> DataFrame:
     """The predicted rating of each review, null where none of its words has a weight.
 
@@ -85,9 +85,9 @@ def _score_by_parts(found: DataFrame, frequent: DataFrame, rare: DataFrame, key:
     """Scores with a broadcast of the frequent words and a shuffle for the others.
 
     Frequent words are most of any text; they are added up in the task that read the review, which
-    leaves the shuffle one row for them and one per other word. Those rows spread over `salts` per
-    word, with the rare weights copied as often, so a word that is rare in training but in every
-    scored review does not meet in one task.
+    leaves the shuffle one row for them and one per other word. The rows of a word that is rare in
+    training but in every scored review spread over `salts` tasks, with the rare weights copied as
+    often, and adaptive execution splits those further if one is still out of line.
     """
     looked_up = found.join(F.broadcast(frequent.drop(N)), "word", "left")
     rest = F.when(F.col(WEIGHT).isNull(), F.col("word")).alias("word")

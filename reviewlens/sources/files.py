@@ -17,7 +17,14 @@ from reviewlens.schema import REVIEW_SCHEMA, conform
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Reviews from a Parquet tree, `product_category` being a column or a partition of it."""
-    return conform(spark.read.parquet(*([path] if isinstance(path, str) else path)))
+    paths = [path] if isinstance(path, str) else path
+    found = spark.read.parquet(*paths)
+    category = "product_category"
+    if category in found.columns and found.schema[category].dataType != T.StringType():
+        # Folder names that look like numbers: read again as they are spelt.
+        fields = [T.StructField(category, T.StringType()) if f.name == category else f for f in found.schema]
+        found = spark.read.schema(T.StructType(fields)).parquet(*paths)
+    return conform(found)
 
 
 def read_tsv(
