@@ -46,11 +46,11 @@ def headline_word_counts(reviews: DataFrame, titles: Sequence[str] = DEFAULT_HEA
 def rank_words(counts: DataFrame, k: int, by: Sequence[str] = BY) -> DataFrame:
     """The k most frequent words of each group, ties in word order.
 
-    Spark keeps k rows per group and task before the shuffle, up to its windowGroupLimitThreshold
-    (1000); beyond that a first ranking of hashed parts of each group does the same.
+    Spark keeps k rows per group and task before the shuffle, for any k up to a limit of its own;
+    beyond that limit a first ranking of hashed parts of each group does the same.
     """
     order = [F.desc(N), F.col("word")]
-    if k > 1000:
+    if k > int(counts.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
         part = F.pmod(F.xxhash64("word"), F.lit(256))
         within = Window.partitionBy(*by, part).orderBy(*order)
         counts = counts.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k).drop("rank")

@@ -1,0 +1,133 @@
+"""What the physical plans must and must not hold."""
+
+import contextlib
+import io
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from reviewlens.operators import ratings, sentiment, words
+from reviewlens.plans import tables
+from reviewlens.sources import files
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plan_of(df, run=False):
+    if run:
+        df.write.format("noop").mode("overwrite").save()
+        df.collect()
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    text = out.getvalue()
+    return text.split("== Initial Plan ==")[0]
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("stored") / "reviews")
+    files.write_parquet(tables.as_reviews(tables.votes_table(spark, FOLDER)), path)
+    return files.read_parquet(spark, path)
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_no_python_rows_and_no_cross_joins(spark, name):
+    plan = plan_of(entry.queries()[name](spark, FOLDER))
+    for operator in ("EvalPython", "InPandas", "InArrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert operator not in plan
+
+
+@pytest.mark.parametrize(
+    "report",
+    [
+        ratings.category_counts,
+        ratings.category_summary,
+        ratings.rating_cube,
+        ratings.verified_means,
+        ratings.verified_margins,
+        ratings.verified_rating_share,
+        ratings.helpfulness_ratio,
+        ratings.vine_contrast,
+    ],
+)
+def test_one_scan_and_partial_aggregation(stored, report):
+    plan = plan_of(report(stored))
+    assert plan.count("FileScan") == 1
+    # The aggregation next to the scan comes before any exchange.
+    below_first_exchange = plan[plan.rindex("Exchange") :]
+    assert "partial_" in below_first_exchange
+
+
+def test_scan_reads_the_columns_of_the_report(stored):
+    plan = plan_of(ratings.rating_histogram(stored))
+    assert "ReadSchema: struct<star_rating:int>" in plan
+
+
+def test_filters_reach_the_scan(stored):
+    report = ratings.category_counts(ratings.in_marketplace(stored))
+    assert "EqualTo(marketplace,US)" in plan_of(report)
+    one = ratings.total_count(stored.where(F.col("product_category") == "Category_1"))
+    assert re.search(r"PartitionFilters: \[[^\]]*product_category[^\]]* = Category_1", plan_of(one))
+
+
+def test_margins_expand_aggregated_rows(stored):
+    plan = plan_of(ratings.verified_margins(stored))
+    assert plan.index("Expand") < plan.rindex("Exchange hashpartitioning(product_category")
+
+
+def test_share_gathers_aggregated_rows(stored):
+    plan = plan_of(ratings.verified_rating_share(stored))
+    assert plan.index("SinglePartition") < plan.index("HashAggregate")
+
+
+def test_top_helpful_is_no_full_sort(stored):
+    plan = plan_of(ratings.top_helpful(stored))
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
+
+
+def test_groups_are_cut_before_the_shuffle(spark):
+    texts = tables.text_table(spark, FOLDER)
+    plan = plan_of(words.top_words(texts))
+    assert plan.count("WindowGroupLimit") == 2
+    partial = next(line for line in plan.splitlines() if "WindowGroupLimit" in line and "Partial" in line)
+    assert plan.index("Exchange hashpartitioning") < plan.index(partial)
+    large = plan_of(words.rank_words(words.word_counts(texts), 5000))
+    assert large.count("row_number()") == 2 and large.count("Exchange hashpartitioning") == 3
+
+
+def test_listed_and_small_stop_words_go_before_the_count(spark):
+    texts = tables.text_table(spark, FOLDER)
+    listed = plan_of(words.word_counts(texts, stop_words=[f"w{i}" for i in range(20)]))
+    assert listed.index("partial_count") < listed.index("INSET")
+    small = spark.createDataFrame([("the",)], "w string")
+    joined = plan_of(words.word_counts(texts, stop_words=F.broadcast(small)))
+    assert joined.index("partial_count") < joined.index("BroadcastHashJoin")
+
+
+def test_large_stop_list_meets_counts(spark):
+    texts = tables.text_table(spark, FOLDER)
+    large = spark.createDataFrame([("the",)], "w string").hint("merge")
+    plan = plan_of(words.word_counts(texts, stop_words=large))
+    assert plan.index("SortMergeJoin") < plan.index("partial_count")
+
+
+def test_word_lists_count_once(spark):
+    plan = plan_of(words.top_word_lists(tables.text_table(spark, FOLDER)), run=True)
+    assert "ReusedExchange" in plan and plan.count("FileScan") == 1
+
+
+def test_prediction_plans(spark):
+    texts = tables.text_table(spark, FOLDER)
+    weights = files.store(sentiment.word_weights(texts), "weights")
+    whole = plan_of(sentiment.predict_ratings(texts, weights))
+    assert "BroadcastHashJoin" in whole and whole.count("Exchange hashpartitioning") == 1
+    parts = plan_of(sentiment.predict_ratings(texts, weights, max_broadcast_bytes=0))
+    assert parts.count("BroadcastHashJoin") == 1 and parts.count("SortMergeJoin") == 1
+    assert "Exchange hashpartitioning(word" in parts and "salt" in parts
+
+
+def test_category_folders_are_rebalanced(spark, stored):
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan_of(stored.hint("rebalance", "product_category"))
