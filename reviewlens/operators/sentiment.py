@@ -8,10 +8,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.functions.text import count_words, explode_words, is_telling, without_stop_words, words
+from reviewlens.functions.text import count_words, explode_words, words
+from reviewlens.operators.words import N, telling_words
 from reviewlens.schema import is_rating
 
-N = "n_words"
 WEIGHT = "avg_rating"
 
 # Longest word, in characters, that may be broadcast as one of many frequent words.
@@ -26,21 +26,27 @@ def word_weights(
 ) -> DataFrame:
     """Each word of the rated reviews with its mean rating and its number of occurrences.
 
-    A word used twice in a review counts twice. All words are kept unless `filter_words` asks for
-    those that `top_words` would report.
+    Takes reviews, or the counts of their words per rating that `word_counts` returns. A word used
+    twice in a review counts twice. All words are kept unless `filter_words` asks for those that
+    `top_words` would report.
     """
-    rated = reviews.where(is_rating(F.col("star_rating"))).select("star_rating", text)
-    found = explode_words(rated, text)
-    if filter_words:
-        found = found.where(is_telling(F.col("word")))
-    weights = found.groupBy("word").agg(F.avg("star_rating").alias(WEIGHT), F.count("*").alias(N))
-    return without_stop_words(weights, stop_words if filter_words else None)
+    counts = reviews
+    if N not in reviews.columns:
+        rated = reviews.where(is_rating(F.col("star_rating"))).select("star_rating", text)
+        counts = explode_words(rated, text).withColumn(N, F.lit(1).cast("bigint"))
+    mean = F.sum(F.col("star_rating") * F.col(N)) / F.sum(N)
+    weights = counts.groupBy("word").agg(mean.alias(WEIGHT), F.sum(N).alias(N))
+    return telling_words(weights, stop_words) if filter_words else weights
 
 
 def word_total(reviews: DataFrame, text: str = "review_body") -> DataFrame:
-    """Number of word occurrences in the rated reviews, counted within each row."""
-    rated = reviews.where(is_rating(F.col("star_rating")))
-    return rated.agg(F.coalesce(F.sum(count_words(F.col(text))), F.lit(0)).alias(N))
+    """Number of word occurrences in the rated reviews, counted within each row, or in the counts
+    of their words."""
+    if N in reviews.columns:
+        n = F.col(N)
+    else:
+        reviews, n = reviews.where(is_rating(F.col("star_rating"))), count_words(F.col(text))
+    return reviews.agg(F.coalesce(F.sum(n), F.lit(0)).alias(N))
 
 
 def predict_ratings(

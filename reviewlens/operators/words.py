@@ -1,4 +1,8 @@
-"""Most used words of headlines and bodies."""
+"""Most used words of headlines and bodies.
+
+Word filters depend on the word alone, so they are written on the counts: Spark moves them ahead of
+the count where it is part of the same plan, and a stored count serves reports of any filter.
+"""
 
 from __future__ import annotations
 
@@ -14,22 +18,25 @@ BY = ("product_category", "star_rating")
 N = "n_words"
 
 
-def word_counts(
-    reviews: DataFrame,
-    text: str = "review_body",
-    by: Sequence[str] = BY,
-    stop_words: Iterable[str] | DataFrame | None = None,
-    drop_numbers: bool = False,
-) -> DataFrame:
+def word_counts(reviews: DataFrame, text: str = "review_body", by: Sequence[str] = BY) -> DataFrame:
     """How often each word occurs in the texts of each group of rated reviews.
 
     Words are counted in the map task first, so a word of every review reaches the shuffle once per
-    task and group. Stop words are taken from the counts: Spark moves a listed or broadcast stop
-    list ahead of the count, and a larger one meets each word once per group.
+    task and group.
     """
     rated = reviews.where(is_rating(F.col("star_rating"))).select(*by, text)
-    found = explode_words(rated, text).where(is_telling(F.col("word"), drop_numbers))
-    return without_stop_words(found.groupBy(*by, "word").agg(F.count("*").alias(N)), stop_words)
+    return explode_words(rated, text).groupBy(*by, "word").agg(F.count("*").alias(N))
+
+
+def telling_words(
+    counts: DataFrame, stop_words: Iterable[str] | DataFrame | None = None, drop_numbers: bool = False
+) -> DataFrame:
+    """The counts of words worth reporting.
+
+    A listed or broadcast stop list takes effect before the count; a larger one is joined after it,
+    when a word occurs once per group.
+    """
+    return without_stop_words(counts.where(is_telling(F.col("word"), drop_numbers)), stop_words)
 
 
 def without_default_headlines(reviews: DataFrame, titles: Sequence[str] = DEFAULT_HEADLINES) -> DataFrame:
@@ -38,9 +45,14 @@ def without_default_headlines(reviews: DataFrame, titles: Sequence[str] = DEFAUL
     return reviews.where(headline.isNull() | ~headline.isin(*titles))
 
 
-def headline_word_counts(reviews: DataFrame, titles: Sequence[str] = DEFAULT_HEADLINES, **options) -> DataFrame:
+def headline_word_counts(reviews: DataFrame, titles: Sequence[str] = DEFAULT_HEADLINES) -> DataFrame:
     """`word_counts` of headlines, default headlines apart."""
-    return word_counts(without_default_headlines(reviews, titles), "review_headline", **options)
+    return word_counts(without_default_headlines(reviews, titles), "review_headline")
+
+
+def over_all_categories(counts: DataFrame) -> DataFrame:
+    """Word counts per rating from those per category and rating."""
+    return counts.groupBy("star_rating", "word").agg(F.sum(N).alias(N))
 
 
 def rank_words(counts: DataFrame, k: int, by: Sequence[str] = BY) -> DataFrame:
@@ -58,25 +70,29 @@ def rank_words(counts: DataFrame, k: int, by: Sequence[str] = BY) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select(*by, "rank", "word", N)
 
 
-def over_all_categories(counts: DataFrame) -> DataFrame:
-    """Word counts per rating from those per category and rating."""
-    return counts.groupBy("star_rating", "word").agg(F.sum(N).alias(N))
-
-
-def top_words(reviews: DataFrame, k: int = 10, **options) -> DataFrame:
+def top_words(reviews: DataFrame, k: int = 10, **filters) -> DataFrame:
     """The k most used body words per category and rating."""
-    return rank_words(word_counts(reviews, **options), k)
+    return rank_words(telling_words(word_counts(reviews), **filters), k)
 
 
-def top_words_overall(reviews: DataFrame, k: int = 10, **options) -> DataFrame:
+def top_words_overall(reviews: DataFrame, k: int = 10, **filters) -> DataFrame:
     """The k most used body words per rating, counted without regard to category."""
     by = ["star_rating"]
-    return rank_words(word_counts(reviews, by=by, **options), k, by)
+    return rank_words(telling_words(word_counts(reviews, by=by), **filters), k, by)
 
 
-def top_headline_words(reviews: DataFrame, k: int = 3, **options) -> DataFrame:
+def top_headline_words(reviews: DataFrame, k: int = 3, **filters) -> DataFrame:
     """The k most used headline words per category and rating."""
-    return rank_words(headline_word_counts(reviews, **options), k)
+    return rank_words(telling_words(headline_word_counts(reviews), **filters), k)
+
+
+def rank_words_with_overall(counts: DataFrame, k: int, overall: str = "Overall") -> DataFrame:
+    """`rank_words` of each category and rating, and of each rating under the category `overall`.
+
+    Both rankings start from the same shuffle of counts, which Spark runs once.
+    """
+    total = over_all_categories(counts).withColumn("product_category", F.lit(overall))
+    return rank_words(counts, k).unionByName(rank_words(total, k))
 
 
 def word_lists(ranked: DataFrame) -> DataFrame:
@@ -88,11 +104,6 @@ def word_lists(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy(*BY).agg(ordered["word"].alias("words"))
 
 
-def top_word_lists(reviews: DataFrame, k: int = 10, overall: str = "Overall", **options) -> DataFrame:
-    """Word lists of each category and rating, and of each rating overall, from one word count.
-
-    Both rankings start from the same shuffle of counts, which Spark runs once.
-    """
-    counts = word_counts(reviews, **options)
-    total = over_all_categories(counts).withColumn("product_category", F.lit(overall))
-    return word_lists(rank_words(counts, k).unionByName(rank_words(total, k)))
+def top_word_lists(reviews: DataFrame, k: int = 10, **filters) -> DataFrame:
+    """Word lists of each category and rating, and of each rating overall, from one word count."""
+    return word_lists(rank_words_with_overall(telling_words(word_counts(reviews), **filters), k))

@@ -41,28 +41,23 @@ def rating_reports(reviews: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def word_reports(reviews: DataFrame, stop_words) -> dict[str, DataFrame]:
-    """The most used words, those overall from the stored counts per category."""
-    counts = files.store(words.word_counts(reviews, stop_words=stop_words), "word-counts")
+def text_reports(reviews: DataFrame, stop_words) -> dict[str, DataFrame]:
+    """The reports on words and the ratings they predict. Those on bodies come from one stored count,
+    so bodies are taken apart once to learn and once to score."""
+    counts = files.store(words.word_counts(reviews), "word-counts")
+    weights = files.store(sentiment.word_weights(counts), "weights")
+    telling = words.telling_words(counts, stop_words)
     return {
-        "top_words": words.rank_words(counts, 10),
-        "top_words_overall": words.rank_words(words.over_all_categories(counts), 10, ["star_rating"]),
+        "top_words": words.rank_words_with_overall(telling, 10),
         "top_headline_words": words.top_headline_words(reviews, stop_words=stop_words),
-    }
-
-
-def sentiment_reports(reviews: DataFrame, scored: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Word weights learnt from `reviews` and the ratings they predict for `scored`."""
-    weights = files.store(sentiment.word_weights(reviews), "weights")
-    return {
         "word_weights": weights,
-        "predicted_ratings": sentiment.predict_ratings(reviews if scored is None else scored, weights),
+        "word_total": sentiment.word_total(counts),
+        "predicted_ratings": sentiment.predict_ratings(reviews, weights),
     }
 
 
 def write_reports(reviews: DataFrame, folder: str, stop_words) -> None:
-    reports = {**rating_reports(reviews), **word_reports(reviews, stop_words), **sentiment_reports(reviews)}
-    for name, report in reports.items():
+    for name, report in {**rating_reports(reviews), **text_reports(reviews, stop_words)}.items():
         files.write_report(report, f"{folder}/{name}")
 
 

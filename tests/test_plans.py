@@ -100,17 +100,18 @@ def test_groups_are_cut_before_the_shuffle(spark):
 
 def test_listed_and_small_stop_words_go_before_the_count(spark):
     texts = tables.text_table(spark, FOLDER)
-    listed = plan_of(words.word_counts(texts, stop_words=[f"w{i}" for i in range(20)]))
+    counts = words.word_counts(texts)
+    listed = plan_of(words.telling_words(counts, [f"w{i}" for i in range(20)]))
     assert listed.index("partial_count") < listed.index("INSET")
     small = spark.createDataFrame([("the",)], "w string")
-    joined = plan_of(words.word_counts(texts, stop_words=F.broadcast(small)))
+    joined = plan_of(words.telling_words(counts, F.broadcast(small)))
     assert joined.index("partial_count") < joined.index("BroadcastHashJoin")
 
 
 def test_large_stop_list_meets_counts(spark):
     texts = tables.text_table(spark, FOLDER)
     large = spark.createDataFrame([("the",)], "w string").hint("merge")
-    plan = plan_of(words.word_counts(texts, stop_words=large))
+    plan = plan_of(words.telling_words(words.word_counts(texts), large))
     assert plan.index("SortMergeJoin") < plan.index("partial_count")
 
 

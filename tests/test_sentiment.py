@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.operators import sentiment
+from reviewlens.operators.words import word_counts
 from reviewlens.sources.files import store
 
 COLUMNS = "review_id string, star_rating int, review_body string"
@@ -41,17 +42,24 @@ def predictions_of(rows, weights):
     return result
 
 
-def test_word_weights(reviews):
-    rows = random_rows()
-    found = sentiment.word_weights(reviews(rows, COLUMNS)).collect()
-    assert {r["word"]: (r["avg_rating"], r["n_words"]) for r in found} == weights_of(rows)
+@pytest.fixture(params=["reviews", "counts"])
+def either(request, reviews):
+    """Reviews, or the counts of their words."""
+    table = reviews(random_rows(), COLUMNS)
+    return table if request.param == "reviews" else word_counts(table)
 
 
-def test_word_total(reviews):
-    rows = random_rows()
-    assert sentiment.word_total(reviews(rows, COLUMNS)).first()["n_words"] == sum(
-        n for _, n in weights_of(rows).values()
-    )
+def test_word_weights(either):
+    found = sentiment.word_weights(either).collect()
+    assert {r["word"]: (r["avg_rating"], r["n_words"]) for r in found} == weights_of(random_rows())
+
+
+def test_word_total(either):
+    total = sum(n for _, n in weights_of(random_rows()).values())
+    assert sentiment.word_total(either).first()["n_words"] == total
+
+
+def test_no_words(reviews):
     assert sentiment.word_total(reviews([], COLUMNS)).first()["n_words"] == 0
 
 

@@ -156,7 +156,11 @@ def test_whole_run(spark, tmp_path):
     assert report("total_count").first()[0] == 80
     assert report("top_helpful").count() == 20
     words = {(r["product_category"], r["word"]) for r in report("top_words").collect()}
-    assert words == {("PC", "good"), ("PC", "bag"), ("Toys", "bad"), ("Toys", "toy")}
+    assert words == {
+        *[(c, w) for c in ("PC", "Overall") for w in ("good", "bag")],
+        *[(c, w) for c in ("Toys", "Overall") for w in ("bad", "toy")],
+    }
+    assert report("word_total").first()[0] == 50 * 2 + 30 * 3
     assert {r["word"] for r in report("top_headline_words").collect()} == {"broke"}
     predicted = {r["review_id"]: r["predicted_rating"] for r in report("predicted_ratings").collect()}
     assert len(predicted) == 80 and predicted["r1"] == 3.0 and predicted["r60"] == 1.0

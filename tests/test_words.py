@@ -89,7 +89,7 @@ def test_top_words_overall(reviews):
     table = reviews(random_rows(), COLUMNS)
     expected = best(overall(counts_of(random_rows(), 3)), 10)
     assert found(words.top_words_overall(table, stop_words=STOP)) == expected
-    counts = words.over_all_categories(words.word_counts(table, stop_words=STOP))
+    counts = words.over_all_categories(words.telling_words(words.word_counts(table), STOP))
     assert found(words.rank_words(counts, 10, ["star_rating"])) == expected
 
 
