@@ -61,8 +61,9 @@ def test_random_texts_against_python(spark):
         if row["telling"]:
             got_telling[row["id"]].append(row["word"])
     counts = {r["id"]: r["n"] for r in rows.select("id", text.count_words(F.col("body")).alias("n")).collect()}
+    clean = {r["id"]: r["c"] for r in rows.select("id", text.clean_text(F.col("body")).alias("c")).collect()}
     for i, value in enumerate(texts):
-        assert got[i] == python_words(value)
+        assert got[i] == python_words(value) == clean[i].split()
         assert got_telling[i] == [w for w in got[i] if python_telling(w)]
         assert counts[i] == len(got[i])
 
