@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 from reviewlens.functions.text import category_from_file_name
 from reviewlens.schema import REVIEW_SCHEMA, conform
 
+# The form of a review file: no field is quoted, and no character escapes another. The reader wants a
+# quote all the same, so it gets a code point that is no character. An empty one would mean NUL.
+TSV = {"sep": "\t", "quote": "\ufdd0", "escape": "\ufdd0"}
+
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Reviews from a Parquet tree, `product_category` being a column or a partition of it."""
@@ -39,8 +43,7 @@ def read_tsv(
 
     A gzip file is read by one task: convert once with `write_parquet`, or see `spread`.
     """
-    options = {"sep": "\t", "header": False, "quote": "", "escape": "", "mode": "PERMISSIVE"}
-    rows = spark.read.schema(REVIEW_SCHEMA).options(**options).csv(path)
+    rows = spark.read.schema(REVIEW_SCHEMA).options(**TSV, header=False, mode="PERMISSIVE").csv(path)
     if category_from_file:
         name = category_from_file_name(F.col("_metadata.file_name"), marketplace)
         rows = rows.withColumn("product_category", name).where(F.col("product_category").isNotNull())
@@ -73,14 +76,12 @@ def write_parquet(reviews: DataFrame, path: str) -> None:
 
 
 def write_tsv(reviews: DataFrame, path: str) -> None:
-    """Reviews as gzip files of tab-separated lines under a header line. Tabs and line breaks in a
-    field become spaces, as the form has no quoting."""
-    fields = [
-        F.coalesce(F.regexp_replace(F.col(f.name).cast("string"), r"[\t\r\n]+", " "), F.lit(""))
-        for f in REVIEW_SCHEMA
-    ]
-    lines = reviews.select(F.concat_ws("\t", *fields).alias("value"))
-    lines.write.mode("errorifexists").option("compression", "gzip").text(path)
+    """Reviews as gzip files of tab-separated lines, each under a header line. Tabs and line breaks in
+    a field become spaces, as the form has no quoting."""
+    fields = [F.regexp_replace(F.col(f.name).cast("string"), r"[\t\r\n]+", " ").alias(f.name) for f in REVIEW_SCHEMA]
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    options = {**TSV, **spaces, "header": True, "compression": "gzip"}
+    reviews.select(fields).write.mode("errorifexists").options(**options).csv(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -75,16 +75,19 @@ def test_tsv_category_from_file(spark, tmp_path):
 
 
 def test_tsv_written_and_read(spark, reviews, tmp_path):
-    rows = [("1", "A", 3, 'un"balanced', "two\tparts\nand more"), ("2", None, None, None, "back\\ 'q'")]
+    odd = ['un"balanced', "back\\slash\\", '"both"', "'q'", "# hash", " padded ", '\\"', ",", "é ", None, "a\x00b", "\x00a\x00", "\x00"]
+    rows = [(str(i), "A" if i % 2 else None, i % 6 or None, v, v) for i, v in enumerate(odd)]
+    rows.append(("99", "A", 3, "two\tparts\nand\r\nmore", "x"))
+    columns = ["review_id", "product_category", "star_rating", "review_headline", "review_body"]
     table = reviews(rows, "review_id string, product_category string, star_rating int, review_headline string, review_body string")
     files.write_tsv(table, str(tmp_path / "out"))
-    found = files.read_tsv(spark, str(tmp_path / "out")).orderBy("review_id")
-    columns = ["review_id", "product_category", "star_rating", "review_headline", "review_body"]
-    assert [tuple(r) for r in found.select(columns).collect()] == [
-        ("1", "A", 3, 'un"balanced', "two parts and more"),
-        rows[1],
-    ]
-    assert all(p.endswith(".txt.gz") for p in found.inputFiles())
+    found = files.read_tsv(spark, str(tmp_path / "out"))
+    rows[-1] = ("99", "A", 3, "two parts and more", "x")
+    assert sorted(tuple(r) for r in found.select("review_id").collect()) == sorted((r[0],) for r in rows)
+    got = {r["review_id"]: tuple(r) for r in found.select(columns).collect()}
+    assert got == {r[0]: r for r in rows}
+    for path in (tmp_path / "out").glob("*.gz"):
+        assert gzip.decompress(path.read_bytes()).decode().startswith(HEADER)
 
 
 @pytest.fixture
