@@ -79,7 +79,8 @@ def predict_ratings(
 
     # Fewer than max_frequent_words words can each make up more than 1/max_frequent_words of all
     # occurrences: the bound on what is broadcast holds for any vocabulary.
-    frequent = (F.col(N) * max_frequent_words > size["occurrences"]) & (F.length("word") <= LONGEST_FREQUENT_WORD)
+    share = size["occurrences"] // max_frequent_words
+    frequent = (F.col(N) > share) & (F.length("word") <= LONGEST_FREQUENT_WORD)
     return _score_by_parts(found, lookup.where(frequent), lookup.where(~frequent), key, salts)
 
 

@@ -65,7 +65,7 @@ def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description="Write all reports of a review dataset.")
     parser.add_argument("reviews", help="folder or glob of review files")
     parser.add_argument("out", help="folder for the reports")
-    parser.add_argument("--tsv", action="store_true", help="reviews are tab-separated files; converted once, to OUT/reviews")
+    parser.add_argument("--tsv", action="store_true", help="tab-separated files, converted once to OUT/reviews")
     parser.add_argument("--stop-words", help="text file of one stop word per line")
     parser.add_argument("--marketplace", help="keep reviews of this marketplace only")
     options = parser.parse_args(args)
@@ -74,7 +74,7 @@ def main(args: list[str] | None = None) -> None:
     source = options.reviews
     if options.tsv:
         source = f"{options.out}/reviews"
-        files.write_parquet(files.spread(files.read_tsv(spark, options.reviews)), source)
+        files.write_parquet(files.read_tsv(spark, options.reviews), source)
     reviews = files.read_parquet(spark, source)
     if options.marketplace:
         reviews = ratings.in_marketplace(reviews, options.marketplace)
