@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 from reviewlens.schema import DEFAULT_HEADLINES, REVIEW_SCHEMA, conform
 from reviewlens.sources.files import spread
 
+# The columns read of each table. Given the types, opening a table costs no job of its own.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "pages": "page_id bigint, html string",
+    "benchmark": "item_id bigint, text string",
+}
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _flag(condition: Column) -> Column:
