@@ -182,7 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "word_weights_filtered": _texts(_word_weights, filter_words=True, stop_words=STOP_WORDS),
         "word_total": _texts(sentiment.word_total),
         "predict_rating": _texts(_predict_rating),
-        "predict_rating_by_parts": _texts(_predict_rating, max_broadcast_bytes=0, max_frequent_words=2000),
+        "predict_rating_by_parts": _texts(_predict_rating, max_broadcast_bytes=0),
         "union_parts": _union_parts,
         "category_spelling": _votes(_category_spelling),
         "category_from_file": _votes(_category_from_file),
