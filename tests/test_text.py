@@ -14,7 +14,7 @@ CASES = [
     ("<BR />upper . , !", []),
     ("café İstanbul ΣΣ wait ... ok--but", ["café", "i̇stanbul", "wait", "ok--but"]),
     ("three\x1cfour\x85five", ["three", "four", "five"]),
-    ("one two three　four five", ["one", "two", "three", "four", "five"]),
+    ("one\u2003two\xa0three\u3000four\u2028five", ["one", "two", "three", "four", "five"]),
     ("a.b 10 x1 9*** 5", ["ab", "10", "x1", "9***"]),
     ("<br /><br />start end<br />", ["start", "end"]),
     ("", []),
@@ -51,7 +51,7 @@ def test_numbers_are_dropped_on_request(spark):
 def test_random_texts_against_python(spark):
     rng = random.Random(7)
     pieces = list("abzZé09*'.,!?-\"{:;/`") + ["<br />", "<br/>", "\t", "\n", "\r", "\x0b", "\x0c", "\x1f", "\x85"]
-    pieces += [" ", " ", " ", " ", " ", " ", " ", "​", "İ", "ß", "日本"]
+    pieces += ["\u1680", "\u2009", "\u202f", "\u205f", " ", " ", " ", "\u200b", "İ", "ß", "日本"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 40))) for _ in range(2000)]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
     found = text.explode_words(rows, "body").withColumn("telling", text.is_telling(F.col("word")))
