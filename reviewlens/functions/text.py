@@ -65,13 +65,13 @@ def is_telling(word: Column, drop_numbers: bool = False) -> Column:
 def without_stop_words(df: DataFrame, stop_words: Iterable[str] | DataFrame | None, word: str = "word") -> DataFrame:
     """Rows of `df` whose word is no stop word.
 
-    A Python list is compiled into the filter; a DataFrame (its first column) is anti-joined, and
-    Spark broadcasts it if its size allows.
+    A Python list is compiled into the filter; a DataFrame (its first column, which may repeat a
+    word) is anti-joined, and Spark broadcasts it if its size allows.
     """
     if stop_words is None:
         return df
     if isinstance(stop_words, DataFrame):
-        listed = stop_words.select(F.col(stop_words.columns[0]).alias(word))
+        listed = stop_words.select(F.col(stop_words.columns[0]).alias(word)).distinct()
         return df.join(listed, word, "left_anti")
     listed = sorted(set(stop_words))
     return df.where(~F.col(word).isin(listed)) if listed else df

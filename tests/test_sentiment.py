@@ -128,8 +128,8 @@ def test_example_texts(spark, reviews):
     weights = store(sentiment.word_weights(trained), "weights")
     texts = ["perfect", "TERRIBLE!", "i", "perfect terrible unknown", "perfect perfect terrible", "unknown"]
     examples = spark.createDataFrame([(t, t) for t in texts], "id string, body string")
-    found = {r["id"]: r["predicted_rating"] for r in sentiment.predict_ratings(examples, weights, "id", "body").collect()}
-    assert found == {
+    scored = sentiment.predict_ratings(examples, weights, "id", "body").collect()
+    assert {r["id"]: r["predicted_rating"] for r in scored} == {
         "perfect": 5.0,
         "TERRIBLE!": 1.0,
         "i": 3.0,
