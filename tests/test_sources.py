@@ -1,5 +1,7 @@
 import gzip
 from datetime import date
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,11 +137,26 @@ def test_spread_fills_idle_cores_only(spark):
     assert files.spread(few).count() == 100
 
 
-def test_store_uses_the_folder_of_the_session(spark):
-    folder = files.shared_folder(spark)
-    assert folder.removeprefix("file:").startswith(spark.conf.get("spark.checkpoint.dir"))
+def test_store_writes_to_the_shared_folder(spark):
+    folder = files.shared_folder(spark).removeprefix("file:")
+    set_folder = spark.conf.get("spark.checkpoint.dir", None)
+    assert set_folder is None or folder.startswith(set_folder.removeprefix("file:"))
     stored = files.store(spark.range(10).toDF("n"), "numbers")
-    assert stored.count() == 10 and all(folder.removeprefix("file:") in p for p in stored.inputFiles())
+    assert stored.count() == 10 and all(folder in p for p in stored.inputFiles())
+
+
+def session_like(master, folder=None, settings=()):
+    context = SimpleNamespace(getCheckpointDir=lambda: folder, master=master, setCheckpointDir=lambda path: None)
+    return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=dict(settings).get))
+
+
+def test_shared_folder_without_a_setting():
+    assert files.shared_folder(session_like("spark://host", "hdfs:/shared/1")) == "hdfs:/shared/1"
+    named = session_like("spark://host", settings=[("spark.checkpoint.dir", "hdfs:/shared")])
+    assert files.shared_folder(named) == "hdfs:/shared"
+    assert Path(files.shared_folder(session_like("local[2]"))).is_dir()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.shared_folder(session_like("spark://host"))
 
 
 def test_whole_run(spark, tmp_path):
