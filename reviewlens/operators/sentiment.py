@@ -58,7 +58,8 @@ def predict_ratings(
     max_frequent_words: int = 200_000,
     salts: int = 8,
 ) -> DataFrame:
-    """The predicted rating of each review, null where none of its words has a weight.
+    """The predicted rating of each review, null where none of its words has a weight. Rows that
+    share a `key` are scored as one review.
 
     `weights` is read more than once, so pass a stored table. Its size decides the plan, not the
     result: a vocabulary within `max_broadcast_bytes` is broadcast whole and the words of a review
