@@ -65,6 +65,11 @@ def _verified_gap_overall(reviews: DataFrame) -> DataFrame:
     return overall.select(F.round("mean_gap", 6).alias("mean_gap"))
 
 
+def _verified_grouping_sets(reviews: DataFrame) -> DataFrame:
+    """The margins with a word in place of the nulls of their keys."""
+    return ratings.verified_margins(reviews).fillna("(all)", ["product_category", "verified_purchase"])
+
+
 def _helpfulness_mean_ratio(reviews: DataFrame) -> DataFrame:
     report = ratings.helpfulness_mean_ratio(reviews)
     return report.withColumn("mean_helpful_ratio", F.round("mean_helpful_ratio", 6))
@@ -165,7 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "verified_means": _votes(ratings.verified_means),
         "verified_gap": _votes(lambda df: ratings.verified_gap(ratings.verified_means(df))),
         "verified_gap_overall": _votes(_verified_gap_overall),
-        "verified_grouping_sets": _votes(ratings.verified_margins),
+        "verified_grouping_sets": _votes(_verified_grouping_sets),
         "verified_rating_counts": _votes(ratings.verified_rating_counts),
         "verified_rating_share": _votes(ratings.verified_rating_share),
         "helpfulness_ratio": _votes(ratings.helpfulness_ratio),
@@ -312,12 +317,13 @@ def oracle_sql() -> dict[str, str]:
         "verified_gap": f"WITH {_GAPS} SELECT product_category, gap FROM gaps",
         "verified_gap_overall": f"WITH {_GAPS} SELECT round(avg(gap), 6) AS mean_gap FROM gaps",
         "verified_grouping_sets": f"""WITH {_VOTES}
-            SELECT product_category, verified_purchase,
-                   CAST(grouping(product_category) AS INTEGER) AS all_categories,
-                   CAST(grouping(verified_purchase) AS INTEGER) AS all_purchases,
+            SELECT coalesce(votes.product_category, '(all)') AS product_category,
+                   coalesce(votes.verified_purchase, '(all)') AS verified_purchase,
+                   CAST(grouping(votes.product_category) AS INTEGER) AS all_categories,
+                   CAST(grouping(votes.verified_purchase) AS INTEGER) AS all_purchases,
                    count(*) AS n_reviews, avg(star_rating) AS mean_rating
-            FROM votes GROUP BY GROUPING SETS ((product_category, verified_purchase), (product_category),
-                                               (verified_purchase), ())""",
+            FROM votes GROUP BY GROUPING SETS ((votes.product_category, votes.verified_purchase),
+                                               (votes.product_category), (votes.verified_purchase), ())""",
         "verified_rating_counts": f"""WITH {_VOTES}
             SELECT verified_purchase, count(*) AS n_reviews, {_N_BY_STAR} FROM votes GROUP BY verified_purchase""",
         "verified_rating_share": f"""WITH {_VOTES},
