@@ -39,25 +39,16 @@ def _texts(report: Callable[..., DataFrame], **options) -> Callable[[SparkSessio
     return lambda spark, folder: report(tables.spread_text(spark, folder), **options)
 
 
-def _zero_if_unrated(df: DataFrame) -> DataFrame:
-    """Whole numbers only, as a null among integers turns them into floats in pandas."""
-    return df.withColumn("star_rating", F.coalesce("star_rating", F.lit(0)))
-
-
 def _verified_reviews(spark: SparkSession, folder: str) -> DataFrame:
     tables.votes_table(spark, folder).createOrReplaceTempView("reviews")
-    return _zero_if_unrated(
-        spark.sql("SELECT customer_id, star_rating, verified_purchase FROM reviews WHERE verified_purchase = 'Y'")
+    return spark.sql(
+        "SELECT customer_id, star_rating, verified_purchase FROM reviews WHERE verified_purchase = 'Y'"
     )
 
 
-def _unverified_reviews(reviews: DataFrame) -> DataFrame:
-    return _zero_if_unrated(ratings.purchases(reviews, "N"))
-
-
 def _marketplace_filter(reviews: DataFrame) -> DataFrame:
     columns = ("customer_id", "product_category", "star_rating", "helpful_votes", "total_votes")
-    return _zero_if_unrated(ratings.in_marketplace(reviews).select(*columns))
+    return ratings.in_marketplace(reviews).select(*columns)
 
 
 def _verified_gap_overall(reviews: DataFrame) -> DataFrame:
@@ -76,7 +67,7 @@ def _helpfulness_mean_ratio(reviews: DataFrame) -> DataFrame:
 
 
 def _rating_cube(reviews: DataFrame) -> DataFrame:
-    cube = _zero_if_unrated(ratings.rating_cube(reviews))
+    cube = ratings.rating_cube(reviews)
     return cube.withColumn("helpful_share", F.round("helpful_share", 6))
 
 
@@ -147,6 +138,14 @@ def _predict_rating(reviews: DataFrame, **options) -> DataFrame:
     return predicted.withColumn("predicted_rating", F.round("predicted_rating", 6))
 
 
+def _top_headline_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Headlines of the texts and of the votes, the latter all default ones."""
+    columns = ["product_category", "star_rating", "review_headline"]
+    parts = [tables.spread_text(spark, folder), tables.votes_table(spark, folder)]
+    reviews = files.union_parts([part.select(columns) for part in parts])
+    return words.top_headline_words(reviews, stop_words=STOP_WORDS)
+
+
 def _top_word_lists(reviews: DataFrame) -> DataFrame:
     lists = words.top_word_lists(reviews, stop_words=STOP_WORDS)
     return lists.withColumn("words", F.array_join("words", " "))
@@ -166,7 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "histogram_mean": _votes(lambda df: ratings.histogram_mean(ratings.rating_histogram(df))),
         "marketplace_filter": _votes(_marketplace_filter),
         "verified_reviews": _verified_reviews,
-        "unverified_reviews": _votes(_unverified_reviews),
+        "unverified_reviews": _votes(lambda df: ratings.purchases(df, "N")),
         "verified_means": _votes(ratings.verified_means),
         "verified_gap": _votes(lambda df: ratings.verified_gap(ratings.verified_means(df))),
         "verified_gap_overall": _votes(_verified_gap_overall),
@@ -182,7 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_words_stop_table": _top_words_stop_table,
         "top_words_overall": _texts(words.top_words_overall, stop_words=STOP_WORDS),
         "top_word_lists": _texts(_top_word_lists),
-        "top_headline_words": _texts(words.top_headline_words, stop_words=STOP_WORDS),
+        "top_headline_words": _top_headline_words,
         "word_weights": _texts(_word_weights),
         "word_weights_filtered": _texts(_word_weights, filter_words=True, stop_words=STOP_WORDS),
         "word_total": _texts(sentiment.word_total),
@@ -203,7 +202,7 @@ votes AS (
          CAST(l_orderkey AS VARCHAR) AS customer_id,
          CASE WHEN l_partkey % 3 = 0 THEN 'Health_&_Personal_Care'
               ELSE 'Category_' || CAST(l_partkey % 43 AS VARCHAR) END AS product_category,
-         CAST(nullif((l_orderkey + l_linenumber) % 6, 0) AS INTEGER) AS star_rating,
+         CAST(1 + (l_orderkey + l_linenumber) % 5 AS INTEGER) AS star_rating,
          CAST(CAST(l_quantity AS INTEGER) - 1 - l_orderkey % CAST(l_quantity AS INTEGER) AS INTEGER)
            AS helpful_votes,
          CAST(l_quantity AS INTEGER) - 1 AS total_votes,
@@ -214,12 +213,7 @@ votes AS (
 _TEXTS = """
 texts AS (
   SELECT CAST(doc_id AS VARCHAR) AS review_id, source AS product_category,
-         CAST(nullif(n_chars % 6, 0) AS INTEGER) AS star_rating,
-         CASE WHEN lang = 'en' THEN text
-              WHEN n_chars % 6 = 1 THEN 'One Star' WHEN n_chars % 6 = 2 THEN 'Two Stars'
-              WHEN n_chars % 6 = 3 THEN 'Three Stars' WHEN n_chars % 6 = 4 THEN 'Four Stars'
-              WHEN n_chars % 6 = 5 THEN 'Five Stars' END AS review_headline,
-         text AS review_body
+         CAST(1 + n_chars % 5 AS INTEGER) AS star_rating, text AS review_headline, text AS review_body
   FROM documents)"""
 
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -236,28 +230,34 @@ _FORM = r"""NOT regexp_matches(word, '^[a-z]\*+$') AND regexp_matches(word, '^[a
 _TELLING = f"{_FORM} AND word NOT IN ({_STOP_LIST})"
 
 
-def _exploded(text: str = "review_body", where: str = "true") -> str:
+def _exploded(source: str = "texts", text: str = "review_body") -> str:
     return f"""{_TEXTS},
 exploded AS (
-  SELECT review_id, product_category, star_rating, unnest({_words_of(text)}) AS word
-  FROM texts WHERE {where})"""
+  SELECT review_id, product_category, star_rating, unnest({_words_of(text)}) AS word FROM {source})"""
 
 
-def _ranked_words(by: str, k: int, text: str = "review_body", where: str = "true", telling: str = _TELLING) -> str:
-    return f"""WITH {_exploded(text, where)},
+def _ranked_words(by: str, k: int, telling: str = _TELLING, exploded: str = _exploded()) -> str:
+    return f"""WITH {exploded},
 counted AS (
-  SELECT {by}, word, count(*) AS n_words FROM exploded
-  WHERE star_rating IS NOT NULL AND {telling} GROUP BY {by}, word),
+  SELECT {by}, word, count(*) AS n_words FROM exploded WHERE {telling} GROUP BY {by}, word),
 ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY n_words DESC, word) AS INTEGER) AS rank
   FROM counted)
 SELECT {by}, rank, word, n_words FROM ranked WHERE rank <= {k}"""
 
 
+_TITLES = "['One Star', 'Two Stars', 'Three Stars', 'Four Stars', 'Five Stars']"
+_HEADLINES = f"""(
+  SELECT * FROM (
+    SELECT review_id, product_category, star_rating, review_headline FROM texts
+    UNION ALL
+    SELECT NULL, product_category, star_rating, {_TITLES}[star_rating] FROM votes)
+  WHERE NOT list_contains({_TITLES}, review_headline))"""
+
+
 def _weights(where: str = "true") -> str:
     return f"""weights AS (
-  SELECT word, avg(star_rating) AS avg_rating, count(*) AS n_words FROM exploded
-  WHERE star_rating IS NOT NULL AND {where} GROUP BY word)"""
+  SELECT word, avg(star_rating) AS avg_rating, count(*) AS n_words FROM exploded WHERE {where} GROUP BY word)"""
 
 
 _N_BY_STAR = ", ".join(f"count(*) FILTER (WHERE star_rating = {s}) AS n_{s}" for s in (1, 2, 3, 4, 5))
@@ -290,28 +290,28 @@ def oracle_sql() -> dict[str, str]:
             SELECT product_category, count(*) AS n_reviews, {_MEANS}, {_N_BY_STAR}
             FROM votes GROUP BY product_category""",
         "rating_cube": f"""WITH {_VOTES}
-            SELECT marketplace, product_category, coalesce(star_rating, 0) AS star_rating, verified_purchase, vine,
+            SELECT marketplace, product_category, star_rating, verified_purchase, vine,
                    count(*) AS n_reviews, count(*) FILTER (WHERE total_votes <> 0) AS n_voted,
                    round(sum(helpful_votes / nullif(total_votes, 0)), 6) AS helpful_share,
                    CAST(sum(helpful_votes) AS BIGINT) AS helpful_votes,
                    CAST(sum(total_votes) AS BIGINT) AS total_votes
-            FROM votes GROUP BY marketplace, product_category, votes.star_rating, verified_purchase, vine""",
+            FROM votes GROUP BY marketplace, product_category, star_rating, verified_purchase, vine""",
         "rating_histogram": f"""WITH {_VOTES}
             SELECT product_category, star_rating, count(*) AS n_reviews FROM votes
-            WHERE star_rating IS NOT NULL GROUP BY product_category, star_rating""",
+            GROUP BY product_category, star_rating""",
         "rating_histogram_wide": f"""WITH {_VOTES}
             SELECT product_category, {_N_BY_STAR} FROM votes GROUP BY product_category""",
         "histogram_mean": f"""WITH {_VOTES}
             SELECT product_category, avg(star_rating) AS mean_rating FROM votes
-            WHERE star_rating IS NOT NULL GROUP BY product_category""",
+            GROUP BY product_category""",
         "marketplace_filter": f"""WITH {_VOTES}
-            SELECT customer_id, product_category, coalesce(star_rating, 0) AS star_rating, helpful_votes, total_votes
+            SELECT customer_id, product_category, star_rating, helpful_votes, total_votes
             FROM votes WHERE marketplace = 'US'""",
         "verified_reviews": f"""WITH {_VOTES}
-            SELECT customer_id, coalesce(star_rating, 0) AS star_rating, verified_purchase
+            SELECT customer_id, star_rating, verified_purchase
             FROM votes WHERE verified_purchase = 'Y'""",
         "unverified_reviews": f"""WITH {_VOTES}
-            SELECT customer_id, coalesce(star_rating, 0) AS star_rating, verified_purchase
+            SELECT customer_id, star_rating, verified_purchase
             FROM votes WHERE verified_purchase = 'N'""",
         "verified_means": f"WITH {_VOTES} SELECT product_category, {_MEANS} FROM votes GROUP BY product_category",
         "verified_gap": f"WITH {_GAPS} SELECT product_category, gap FROM gaps",
@@ -328,16 +328,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT verified_purchase, count(*) AS n_reviews, {_N_BY_STAR} FROM votes GROUP BY verified_purchase""",
         "verified_rating_share": f"""WITH {_VOTES},
             slices AS (SELECT verified_purchase, star_rating, count(*) AS n_reviews FROM votes
-                       WHERE star_rating IS NOT NULL GROUP BY verified_purchase, star_rating)
+                       GROUP BY verified_purchase, star_rating)
             SELECT *, round(CAST(100 * n_reviews AS DOUBLE) / sum(n_reviews) OVER (), 1) AS share_pct FROM slices""",
         "helpfulness_ratio": f"""WITH {_VOTES}
             SELECT star_rating, CAST(sum(helpful_votes) AS BIGINT) AS helpful_votes,
                    CAST(sum(total_votes) AS BIGINT) AS total_votes,
                    sum(helpful_votes) / sum(total_votes) AS helpful_ratio
-            FROM votes WHERE star_rating IS NOT NULL GROUP BY star_rating""",
+            FROM votes GROUP BY star_rating""",
         "helpfulness_mean_ratio": f"""WITH {_VOTES}
             SELECT star_rating, round(avg(helpful_votes / total_votes), 6) AS mean_helpful_ratio
-            FROM votes WHERE star_rating IS NOT NULL AND total_votes <> 0 GROUP BY star_rating""",
+            FROM votes WHERE total_votes <> 0 GROUP BY star_rating""",
         "vine_contrast": f"""WITH {_VOTES},
             means AS (SELECT avg(star_rating) FILTER (WHERE vine = 'Y') AS mean_vine,
                              avg(star_rating) FILTER (WHERE vine = 'N') AS mean_other FROM votes)
@@ -365,15 +365,14 @@ def oracle_sql() -> dict[str, str]:
         "top_headline_words": _ranked_words(
             "product_category, star_rating",
             3,
-            "review_headline",
-            "review_headline NOT IN ('One Star', 'Two Stars', 'Three Stars', 'Four Stars', 'Five Stars')",
+            exploded=f"{_VOTES}, {_exploded(_HEADLINES, 'review_headline')}",
         ),
         "word_weights": f"""WITH {_exploded()}, {_weights()}
             SELECT word, round(avg_rating, 6) AS avg_rating, n_words FROM weights""",
         "word_weights_filtered": f"""WITH {_exploded()}, {_weights(_TELLING)}
             SELECT word, round(avg_rating, 6) AS avg_rating, n_words FROM weights""",
         "word_total": f"""WITH {_exploded()}
-            SELECT count(*) AS n_words FROM exploded WHERE star_rating IS NOT NULL""",
+            SELECT count(*) AS n_words FROM exploded""",
         "predict_rating": _PREDICTED,
         "predict_rating_by_parts": _PREDICTED,
         "union_parts": f"""

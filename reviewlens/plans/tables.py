@@ -32,40 +32,40 @@ def _flag(condition: Column) -> Column:
 
 
 def _stars(number: Column) -> Column:
-    """One to five stars, null for a sixth of the numbers."""
-    return F.nullif(number % 6, F.lit(0)).cast("int")
+    """One to five stars."""
+    return (1 + number % 5).cast("int")
 
 
 def votes_table(spark: SparkSession, folder: str) -> DataFrame:
-    """`lineitem` as reviews without text; every third category is the same one."""
+    """`lineitem` as reviews without text, each under the default headline of its rating; a third of
+    them are in one category."""
     line = read_table(spark, folder, "lineitem")
     total = F.col("l_quantity").cast("int") - 1
     helpful = total - F.col("l_orderkey") % (total + 1)
     other = F.concat(F.lit("Category_"), (F.col("l_partkey") % 43).cast("string"))
+    star = _stars(F.col("l_orderkey") + F.col("l_linenumber"))
     return line.select(
         F.when(F.col("l_suppkey") % 4 == 0, "DE").otherwise("US").alias("marketplace"),
         F.col("l_orderkey").cast("string").alias("customer_id"),
         F.when(F.col("l_partkey") % 3 == 0, "Health_&_Personal_Care").otherwise(other).alias("product_category"),
-        _stars(F.col("l_orderkey") + F.col("l_linenumber")).alias("star_rating"),
+        star.alias("star_rating"),
         helpful.cast("int").alias("helpful_votes"),
         total.alias("total_votes"),
         _flag(F.col("l_returnflag") == "R").alias("vine"),
         _flag(F.col("l_linestatus") == "O").alias("verified_purchase"),
+        F.element_at(F.array(*[F.lit(title) for title in DEFAULT_HEADLINES]), star).alias("review_headline"),
         F.col("l_shipdate").cast("date").alias("review_date"),
     )
 
 
 def text_table(spark: SparkSession, folder: str) -> DataFrame:
-    """`documents` as reviews with bodies and headlines. A review in English has its text as
-    headline too, any other the default headline of its rating."""
+    """`documents` as reviews whose body and headline are both the text."""
     documents = read_table(spark, folder, "documents")
-    star = _stars(F.col("n_chars"))
-    title = F.try_element_at(F.array(*[F.lit(t) for t in DEFAULT_HEADLINES]), star)
     return documents.select(
         F.col("doc_id").cast("string").alias("review_id"),
         F.col("source").alias("product_category"),
-        star.alias("star_rating"),
-        F.when(F.col("lang") == "en", F.col("text")).otherwise(title).alias("review_headline"),
+        _stars(F.col("n_chars")).alias("star_rating"),
+        F.col("text").alias("review_headline"),
         F.col("text").alias("review_body"),
     )
 
