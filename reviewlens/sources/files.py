@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 from functools import reduce
@@ -89,23 +88,38 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by spark.checkpoint.dir.
-
-    Only a local session, where one machine is the whole cluster, gets a temporary folder instead.
-    """
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder every executor can reach, named by spark.checkpoint.dir."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="reviewlens-")
-        context.setCheckpointDir(folder)
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     return folder
 
 
+# Folders handed out by `new_folder` and not yet released.
+_handed_out: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own under the shared folder, for an intermediate that `release` removes."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Deletes intermediates, all of this process's without `paths`. Frames that read them are of no
+    use afterwards."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in list(_handed_out if paths is None else paths):
+        target = hadoop(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _handed_out:
+            _handed_out.remove(path)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder and read back: computed once, whoever reads it how often,
-    and not lost with an executor."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    and not lost with an executor. `release` removes the files."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(T.StructType(df.schema.fields)).parquet(path)

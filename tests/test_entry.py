@@ -32,10 +32,12 @@ def same(a, b):
 
 
 def test_every_query_has_its_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
+    without_sql = entry.queries().keys() - entry.oracle_sql().keys()
+    assert all(name == "pipeline" or name.startswith("op") for name in without_sql)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_matches_sql(spark, database, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
