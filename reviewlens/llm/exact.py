@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 from reviewlens.llm.places import located, small_side
 from reviewlens.sources.files import new_folder, store
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# State on disk. A store is a partition of the state, so there are many small ones, which should not
+# each set aside room for a large one.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -50,8 +56,9 @@ def remember(spark: SparkSession, folder: str, checkpoint: str, files_per_batch:
     that fails is run again from the state before it.
     """
     schema = spark.read.parquet(folder).schema
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         reader = spark.readStream.schema(schema)
         if files_per_batch:
@@ -78,10 +85,11 @@ def remember(spark: SparkSession, folder: str, checkpoint: str, files_per_batch:
             F.col("value")[value[1]].alias("kept"),
         )
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def decide(
