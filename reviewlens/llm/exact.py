@@ -3,7 +3,7 @@
 Arrivals are a table of keys: the digest of a row's text, its stable identifier and the place its
 content is stored at. A streaming aggregation by digest, with RocksDB as its store and no watermark,
 remembers for every digest ever seen how many rows had it and which of them is kept. Wherever a
-digest was met more than once, the bytes at both places are compared; rows whose bytes differ in
+digest was met more than once, the bytes at all its places are compared; rows whose bytes differ in
 spite of one digest are grouped again by the bytes themselves.
 
 Nulls: a null text is an empty one; a null identifier is the smallest. Of rows with equal texts and
@@ -124,17 +124,15 @@ def decide(
 
 
 def _unequal(docs: DataFrame, hits: DataFrame, text: str) -> DataFrame:
-    """The digests whose rows do not all hold the bytes of the row that stays.
+    """The digests whose rows do not all hold the same bytes.
 
-    Only texts of rows with a repeated digest are shuffled, if those are few enough to be broadcast
-    as places; a digest that many rows share is split over tasks by adaptive execution.
+    Texts are fetched by the places of rows with a repeated digest, and equal ones merged in the task
+    that read them: however many rows share a digest, a task sends its text once.
     """
-    hits = store(hits.select("at", "digest", "n_bytes", "keep_at"), "hits")
+    hits = store(hits.select("at", "digest", "n_bytes"), "hits")
     texts = docs.select(F.col("__at").alias("at"), _body(text).alias("body")).join(small_side(hits), "at")
-    stays = texts.where(F.col("at") == F.col("keep_at")).select("digest", "n_bytes", F.col("body").alias("kept_body"))
-    copies = texts.where(F.col("at") != F.col("keep_at"))
-    differ = copies.join(stays, ["digest", "n_bytes"]).where(F.col("body") != F.col("kept_body"))
-    return differ.select("digest", "n_bytes").distinct()
+    different = texts.select("digest", "n_bytes", "body").distinct()
+    return different.groupBy("digest", "n_bytes").agg(F.count("*").alias("bodies")).where("bodies > 1").drop("bodies")
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.sources.files import store
@@ -27,6 +27,8 @@ def located(docs: DataFrame) -> DataFrame:
         return located(store(docs, "documents"))
 
 
-def small_side(rows: DataFrame) -> DataFrame:
-    """A stored list of places, to be broadcast if it is small enough."""
-    return F.broadcast(rows) if rows.count() * ROW_BYTES <= MAX_BROADCAST_BYTES else rows
+def small_side(rows: DataFrame, row_bytes: Column | None = None) -> DataFrame:
+    """A stored list, to be broadcast if it is small enough: `row_bytes` a row, ROW_BYTES where it holds
+    a place alone."""
+    size = rows.agg(F.coalesce(F.sum(F.lit(ROW_BYTES) if row_bytes is None else row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(rows) if size <= MAX_BROADCAST_BYTES else rows

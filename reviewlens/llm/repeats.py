@@ -343,7 +343,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     wanted = wanted.groupBy("f", "row").agg(F.collect_list(F.struct("first", "n", "anchor", "copies", "split")).alias("wanted"))
     wanted = store(wanted, "wanted")
     cut_schema = f"anchor bigint, copies bigint, {_PLACE}, first int, w1 bigint, w2 bigint, bytes binary"
-    cut = texts.join(small_side(wanted), ["f", "row"]).select("f", "row", "text", "wanted")
+    cut = texts.join(small_side(wanted, 100 + 48 * F.size("wanted")), ["f", "row"]).select("f", "row", "text", "wanted")
     cut = store(cut.mapInArrow(lambda b: _cut(b, length), cut_schema), "cut")
 
     strings = cut.where(F.col("anchor").isNotNull()).select("anchor", "copies", "f", "row", "first", "bytes")
@@ -372,6 +372,6 @@ def remove_repeats(
         lambda b: _merged(b, length), f"{_PLACE}, spans array<struct<start: int, end: int>>"
     )
     spans = store(spans, "spans")
-    joined = placed.join(small_side(spans), ["f", "row"], "left").select("doc_id", "text", "spans")
+    joined = placed.join(small_side(spans, 100 + 24 * F.size("spans")), ["f", "row"], "left").select("doc_id", "text", "spans")
     schema = T.StructType([*joined.schema, T.StructField("kept", T.BinaryType())])
     return joined.mapInArrow(_kept, schema)
