@@ -4,7 +4,8 @@ A window is a string of `LENGTH` bytes of one document. Each window is filed und
 one of its grams with the smallest hash: equal windows have equal anchors. Neighbouring windows with
 one anchor make a segment. Segments whose anchor stands nowhere else cannot repeat and are dropped
 after one count; those of an anchor that only ever stands in one and the same segment repeat whole.
-The different segments of the other anchors are compared: all segments of some anchors are a collection
+Of the others, those stay that agree with another on half of what a window holds beside its anchor,
+just before or just after it, as one of the two lies in any window. Those are compared: all segments of some anchors are a collection
 of short documents, for which the Burrows-Wheeler transform and the common prefixes of neighbouring
 suffixes are built by inserting one symbol per document each round, from its last on, reading and
 writing them as sequential files. Common prefixes of LENGTH bytes are repeated windows.
@@ -40,7 +41,7 @@ LENGTH = 200
 GRAM = 64
 
 # Segments that are compared at once, and different ones an anchor may have before it is split.
-COLLECTION = 4096
+COLLECTION = 1024
 
 # Window starts of a text that are anchored at once.
 STRETCH = 1 << 19
@@ -79,10 +80,12 @@ def _least_of_each(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The segments of a text: first window start, number of starts and hash of the anchor."""
+def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
+    """The segments of a text, by column: first window start, number of starts, hash of the anchor, hash
+    of the half window before it and whether the segment holds that, and the same for after it."""
     codes = np.frombuffer(text, np.uint8)
-    starts, counts, hashes = [], [], []
+    half = (length - gram + 1) // 2
+    found = []
     for begin in range(0, len(codes) - length + 1, STRETCH):
         part = codes[begin : begin + STRETCH + length - 1]
         sums = np.zeros(len(part) + 1, _U)
@@ -93,40 +96,44 @@ def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         placed = (grams >> _U(20) << _U(20)) | np.arange(len(grams), dtype=_U)
         anchor = (_least_of_each(placed, length - gram + 1) & _U((1 << 20) - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        starts.append(first + begin)
-        counts.append(np.diff(first, append=len(anchor)))
-        hashes.append(grams[anchor[first]])
-    if not starts:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U)
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(hashes)
+        n, anchor = np.diff(first, append=len(anchor)), anchor[first]
+        columns = [first + begin, n, grams[anchor]]
+        for at in (anchor - half, anchor + gram):
+            held = (at >= first) & (at + half <= first + n + length - 1)
+            at = np.where(held, at, 0)
+            columns += [(sums[at + half] - sums[at]) * _DOWN[at], held]
+        found.append(columns)
+    return [np.concatenate(c) for c in zip(*found)]
 
 
 _PLACE = "f bigint, row bigint"
-_SEGMENT = f"{_PLACE}, first int, n int, anchor bigint, c1 bigint, c2 bigint"
+_SEGMENT = f"{_PLACE}, first int, n int, anchor bigint, c1 bigint, c2 bigint, ahead bigint, behind bigint"
 
 
 def _all_segments(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ["f", "row", "first", "n", "anchor", "c1", "c2"]
+    names = ["f", "row", "first", "n", "anchor", "c1", "c2", "ahead", "behind"]
     for batch in batches:
         files, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         found, digests, owners = [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
             if len(text) < length:
                 continue
-            first, n, anchor = segments(text, length, gram)
+            columns = segments(text, length, gram)
+            first, n = columns[:2]
             ends = (first + n + (length - 1)).tolist()
             digests.extend([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(first.tolist(), ends)])
             owners.append(np.full(len(first), i))
-            found.append((first, n, anchor))
+            found.append(columns)
         if not found:
             continue
         owner = np.concatenate(owners)
-        first, n, anchor = (np.concatenate(x) for x in zip(*found))
+        first, n, anchor, ahead, has_ahead, behind, has_behind = (np.concatenate(x) for x in zip(*found))
         content = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         columns = [files[owner], rows[owner], first.astype(np.int32), n.astype(np.int32), anchor.view(np.int64)]
-        columns += [content[:, 0], content[:, 1]]
+        columns = [pa.array(c) for c in (*columns, content[:, 0], content[:, 1])]
+        columns += [pa.array(ahead.view(np.int64), mask=~has_ahead), pa.array(behind.view(np.int64), mask=~has_behind)]
         for start in range(0, len(owner), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[start : start + (1 << 16)]) for c in columns], names)
+            yield pa.RecordBatch.from_arrays([c.slice(start, 1 << 16) for c in columns], names)
 
 
 class Collection:
@@ -149,7 +156,8 @@ class Collection:
         code[used] = np.arange(1, len(used) + 1)
         self.symbols = code[joined]
         self.ends = np.cumsum(self.sizes)
-        self.files = Path(folder, "transform"), Path(folder, "prefixes")
+        # Opened once and written over: a file that is emptied and closed each round would wait for the disk.
+        self.files = [open(Path(folder, name), "w+b", buffering=0) for name in ("transform", "prefixes")]
         self._write(self._symbol(np.arange(self.n), 0), np.zeros(self.n, np.uint8))
         self.build()
 
@@ -158,12 +166,22 @@ class Collection:
         at = self.ends[strings] - 1 - j
         return np.where(self.sizes[strings] > j, self.symbols[np.maximum(at, 0)], 0).astype(self.kind)
 
-    def _read(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.fromfile(self.files[0], self.kind), np.fromfile(self.files[1], np.uint8)
+    def _read(self) -> list[np.ndarray]:
+        found = []
+        for file, kind in zip(self.files, (self.kind, np.uint8)):
+            file.seek(0)
+            found.append(np.fromfile(file, kind, self.written))
+        return found
+
+    def _write(self, *columns: np.ndarray) -> None:
+        for file, column in zip(self.files, columns):
+            file.seek(0)
+            column.tofile(file)
+        self.written = len(columns[0])
 
-    def _write(self, transform: np.ndarray, prefixes: np.ndarray) -> None:
-        transform.tofile(self.files[0])
-        prefixes.tofile(self.files[1])
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
 
     def _ranks(self, transform: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Entries in order of symbol and place, each entry's number in it, and where suffixes are from those."""
@@ -247,7 +265,9 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Itera
 
     def found() -> pa.RecordBatch:
         with tempfile.TemporaryDirectory() as folder:
-            starts = Collection([row[5] for row in held], folder, length).repeated()
+            collection = Collection([row[5] for row in held], folder, length)
+            starts = collection.repeated()
+            collection.close()
         rows = []
         for (_, copies, f, row, first, _), hits in zip(held, starts):
             if copies == 1 and len(hits):
@@ -333,13 +353,16 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     differ = again.where("not same").drop("same")
     content = ["anchor", "c1", "c2"]
     one = F.min(F.struct("f", "row", "first", "n")).alias("one")
-    contents = store(differ.groupBy(*content).agg(F.count("*").alias("copies"), one), "contents")
+    sides = [F.min(side).alias(side) for side in ("ahead", "behind")]
+    contents = store(differ.groupBy(*content).agg(F.count("*").alias("copies"), one, *sides), "contents")
     copied = differ.join(contents.where("copies > 1").select(content), content, "left_semi")
     whole = whole.unionByName(copied.select("f", "row", "first", "n"))
     ranges = whole.select("f", "row", F.col("first").alias("low"), (F.col("first") + F.col("n") - 1).alias("high"))
 
-    per_anchor = contents.groupBy("anchor").agg((F.count("*") > most).alias("split"))
-    wanted = contents.join(per_anchor, "anchor").select("one.*", "anchor", "copies", "split")
+    near = [_agreeing(contents, side) for side in ("ahead", "behind")]
+    near = store(near[0].unionByName(near[1]).distinct(), "agreeing")
+    per_anchor = near.groupBy("anchor").agg((F.count("*") > most).alias("split"))
+    wanted = near.join(per_anchor, "anchor").select("one.*", "anchor", "copies", "split")
     wanted = wanted.groupBy("f", "row").agg(F.collect_list(F.struct("first", "n", "anchor", "copies", "split")).alias("wanted"))
     wanted = store(wanted, "wanted")
     cut_schema = f"anchor bigint, copies bigint, {_PLACE}, first int, w1 bigint, w2 bigint, bytes binary"
@@ -357,6 +380,13 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     return ranges.unionByName(compared).unionByName(split)
 
 
+def _agreeing(contents: DataFrame, side: str) -> DataFrame:
+    """The segments that agree with another of their anchor on the half window on one side of it."""
+    shared = contents.where(F.col(side).isNotNull()).groupBy("anchor", side).agg(F.count("*").alias("others"))
+    found = contents.join(shared.where("others > 1"), ["anchor", side])
+    return found.select("anchor", "c1", "c2", "copies", "one")
+
+
 def remove_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, most: int = COLLECTION
 ) -> DataFrame:
