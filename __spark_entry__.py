@@ -21,6 +21,7 @@ from reviewlens.functions.text import (  # noqa: E402
 from reviewlens.operators import ratings, sentiment, words  # noqa: E402
 from reviewlens.plans import tables  # noqa: E402
 from reviewlens.plans.session import name_folder  # noqa: E402
+from reviewlens.schema import Counted  # noqa: E402
 from reviewlens.sources import files  # noqa: E402
 
 # The parameter of the word reports here and in the SQL below.
@@ -96,7 +97,7 @@ def _category_spelling(reviews: DataFrame) -> DataFrame:
     """Counts per category in one spelling; spelt after a first count, once per category."""
     counts = ratings.category_counts(reviews)
     spelt = counts.withColumn("product_category", normalise_category(F.col("product_category")))
-    return ratings.category_counts(spelt)
+    return ratings.category_counts(Counted(spelt))
 
 
 def _category_from_file(reviews: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def _category_from_file(reviews: DataFrame) -> DataFrame:
     )
     files_of = reviews.groupBy(name.alias("name")).agg(F.count("*").alias("n_reviews"))
     parsed = files_of.withColumn("product_category", category_from_file_name(F.col("name")))
-    return ratings.category_counts(parsed.where(F.col("product_category").isNotNull()))
+    return ratings.category_counts(Counted(parsed.where(F.col("product_category").isNotNull())))
 
 
 def _union_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,6 +125,40 @@ def _top_words_stop_table(spark: SparkSession, folder: str) -> DataFrame:
     return words.top_words(tables.spread_text(spark, folder), stop_words=explode_words(texts, "text"))
 
 
+def _reports_from_cube(reviews: DataFrame) -> DataFrame:
+    """Votes, margins and shares, all out of one stored cube."""
+    cube = Counted(files.store(ratings.rating_cube(reviews), "cube"))
+    margins = ratings.verified_margins(cube).fillna("(all)", ["product_category", "verified_purchase"])
+    parts = [
+        (ratings.helpfulness_ratio(cube), "helpful_ratio", ["star_rating"]),
+        (ratings.helpfulness_mean_ratio(cube), "mean_helpful_ratio", ["star_rating"]),
+        (margins, "mean_rating", ["product_category", "verified_purchase"]),
+        (ratings.verified_rating_share(cube), "share_pct", ["verified_purchase", "star_rating"]),
+    ]
+    return files.union_parts(
+        df.select(F.lit(value).alias("report"), F.concat_ws("/", *keys).alias("slice"), F.round(value, 6).alias("value"))
+        for df, value, keys in parts
+    )
+
+
+def _report_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """A report of a stored cube, written as one and read back."""
+    path = files.new_folder(spark, "report")
+    cube = Counted(files.store(ratings.rating_cube(tables.votes_table(spark, folder)), "cube"))
+    files.write_report(ratings.category_summary(cube), path)
+    return spark.read.parquet(path)
+
+
+def _predict_rating_repeated_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of conversations, many of which share an identifier, rated one by one."""
+    turns = tables.read_table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("string").alias("review_id"), F.col("text").alias("review_body")
+    )
+    weights = files.store(sentiment.word_weights(tables.spread_text(spark, folder)), "weights")
+    predicted = sentiment.predict_ratings(turns, weights)
+    return predicted.withColumn("predicted_rating", F.round("predicted_rating", 6))
+
+
 def _reviews_and_words(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("product_category").agg(
         F.count("*").alias("n_reviews"), F.sum(count_words(F.col("review_body"))).alias("n_words")
@@ -204,6 +239,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "word_total": _texts(sentiment.word_total),
         "predict_rating": _texts(_predict_rating),
         "predict_rating_by_parts": _texts(_predict_rating, max_broadcast_bytes=0),
+        "predict_rating_repeated_ids": _predict_rating_repeated_ids,
+        "reports_from_cube": _votes(_reports_from_cube),
+        "report_sink": _report_sink,
         "union_parts": _union_parts,
         "category_spelling": _votes(_category_spelling),
         "category_from_file": _votes(_category_from_file),
@@ -395,6 +433,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS n_words FROM exploded""",
         "predict_rating": _PREDICTED,
         "predict_rating_by_parts": _PREDICTED,
+        "predict_rating_repeated_ids": f"""WITH {_exploded()}, {_weights()},
+            turns AS (SELECT row_number() OVER () AS n, CAST(conv_id AS VARCHAR) AS review_id, text FROM conversations),
+            turn_words AS (SELECT n, unnest({_words_of("text")}) AS word FROM turns),
+            scored AS (SELECT n, avg(avg_rating) AS predicted FROM turn_words JOIN weights USING (word) GROUP BY n)
+            SELECT review_id, round(predicted, 6) AS predicted_rating FROM turns LEFT JOIN scored USING (n)""",
+        "reports_from_cube": f"""WITH {_VOTES}
+            SELECT 'helpful_ratio' AS report, CAST(star_rating AS VARCHAR) AS slice,
+                   round(sum(helpful_votes) / sum(total_votes), 6) AS value FROM votes GROUP BY star_rating
+            UNION ALL
+            SELECT 'mean_helpful_ratio', CAST(star_rating AS VARCHAR), round(avg(helpful_votes / total_votes), 6)
+            FROM votes WHERE total_votes <> 0 GROUP BY star_rating
+            UNION ALL
+            SELECT 'mean_rating', coalesce(product_category, '(all)') || '/' || coalesce(verified_purchase, '(all)'),
+                   round(avg(star_rating), 6)
+            FROM votes GROUP BY GROUPING SETS ((product_category, verified_purchase),
+                                               (product_category), (verified_purchase), ())
+            UNION ALL
+            SELECT 'share_pct', verified_purchase || '/' || star_rating,
+                   round(CAST(100 * count(*) AS DOUBLE) / sum(count(*)) OVER (), 1)
+            FROM votes GROUP BY verified_purchase, star_rating""",
+        "report_sink": f"""WITH {_VOTES}
+            SELECT product_category, count(*) AS n_reviews, {_MEANS}, {_N_BY_STAR}
+            FROM votes GROUP BY product_category""",
         "union_parts": f"""
             SELECT product_category, count(*) AS n_reviews, CAST(sum(len({_words_of('body')})) AS BIGINT) AS n_words
             FROM (SELECT role AS product_category, text AS body FROM conversations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,11 @@ def explode_words(df: DataFrame, text: str, word: str = "word") -> DataFrame:
     return df.select(*others, F.explode(words(F.col(text))).alias(word)).where(F.col(word) != "")
 
 
+def clean_word(word: str) -> str:
+    """A word spelt as `clean_text` leaves it."""
+    return re.sub(PUNCTUATION, "", word).lower()
+
+
 def count_words(text: Column) -> Column:
     """How many words a text holds; null for a null text."""
     return F.size(F.array_remove(words(text), "")).cast("bigint")
@@ -73,7 +79,7 @@ def without_stop_words(df: DataFrame, stop_words: Iterable[str] | DataFrame | No
     if isinstance(stop_words, DataFrame):
         listed = stop_words.select(F.col(stop_words.columns[0]).alias(word)).distinct()
         return df.join(listed, word, "left_anti")
-    listed = sorted(set(stop_words))
+    listed = sorted({clean_word(w) for w in stop_words})
     return df.where(~F.col(word).isin(listed)) if listed else df
 
 

@@ -1,7 +1,7 @@
 """Reports on ratings and votes.
 
-Each takes reviews, or the cube of them that `rating_cube` returns, so that a run of many reports
-reads the reviews once. Each is one aggregation with map-side partials: however uneven the
+Each takes reviews, or `Counted` rows of the cube that `rating_cube` returns, so that a run of many
+reports reads the reviews once. Each is one aggregation with map-side partials: however uneven the
 categories, a task ships one row per group it saw.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.schema import STARS, is_rating
+from reviewlens.schema import STARS, Counted, is_rating
 
 CUBE_KEYS = ("marketplace", "product_category", "star_rating", "verified_purchase", "vine")
 
@@ -22,27 +22,30 @@ N_VOTED = "n_voted"
 HELPFUL_SHARE = "helpful_share"
 
 
-def _weighted(df: DataFrame) -> DataFrame:
+def _weighted(df: DataFrame | Counted) -> DataFrame:
     """Reviews with the weight a cube's rows have: one review each."""
-    return df if N in df.columns else df.withColumn(N, F.lit(1).cast("bigint"))
+    return df.rows if isinstance(df, Counted) else df.withColumn(N, F.lit(1).cast("bigint"))
 
 
-def _with_shares(df: DataFrame) -> DataFrame:
+def _with_shares(df: DataFrame | Counted) -> DataFrame:
     """Reviews with the sums a cube's rows have: their own share of helpful votes, and whether there is one."""
-    if HELPFUL_SHARE in df.columns:
-        return df
+    weighted = _weighted(df)
+    if isinstance(df, Counted):
+        return weighted
     share = F.when(F.col("total_votes") != 0, F.col("helpful_votes") / F.col("total_votes"))
-    return df.withColumns({HELPFUL_SHARE: share, N_VOTED: share.isNotNull().cast("bigint")})
+    return weighted.withColumns({HELPFUL_SHARE: share, N_VOTED: share.isNotNull().cast("bigint")})
 
 
-def rating_cube(reviews: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
+def rating_cube(reviews: DataFrame | Counted, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
     """Counts and vote sums per combination of `keys`: at most a few thousand rows for any input."""
     sums = (N, N_VOTED, HELPFUL_SHARE, "helpful_votes", "total_votes")
-    return _with_shares(_weighted(reviews)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    return _with_shares(reviews).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def in_marketplace(df: DataFrame, marketplace: str = "US") -> DataFrame:
+def in_marketplace(df: DataFrame | Counted, marketplace: str = "US") -> DataFrame | Counted:
     """Reviews of one marketplace; the comparison reaches a Parquet scan."""
+    if isinstance(df, Counted):
+        return Counted(in_marketplace(df.rows, marketplace))
     return df.where(F.col("marketplace") == marketplace)
 
 
@@ -58,27 +61,27 @@ def _is(flag: str, value: str) -> Column:
     return F.col(flag) == value
 
 
-def distinct_categories(df: DataFrame) -> DataFrame:
-    return df.select("product_category").distinct()
+def distinct_categories(df: DataFrame | Counted) -> DataFrame:
+    return _weighted(df).select("product_category").distinct()
 
 
-def category_counts(df: DataFrame) -> DataFrame:
+def category_counts(df: DataFrame | Counted) -> DataFrame:
     """Reviews per category, fewest first."""
     counts = _weighted(df).groupBy("product_category").agg(F.sum(N).alias(N))
     return counts.orderBy(N, "product_category")
 
 
-def total_count(df: DataFrame) -> DataFrame:
+def total_count(df: DataFrame | Counted) -> DataFrame:
     return _weighted(df).agg(F.coalesce(F.sum(N), F.lit(0)).alias(N))
 
 
-def category_mean(df: DataFrame) -> DataFrame:
+def category_mean(df: DataFrame | Counted) -> DataFrame:
     """Mean rating per category, lowest first."""
     means = _weighted(df).groupBy("product_category").agg(_mean_rating().alias("mean_rating"))
     return means.orderBy("mean_rating", "product_category")
 
 
-def rating_histogram(df: DataFrame) -> DataFrame:
+def rating_histogram(df: DataFrame | Counted) -> DataFrame:
     """Reviews per category and rating; a rating a category lacks has no row."""
     rated = _weighted(df).where(is_rating(F.col("star_rating")))
     return rated.groupBy("product_category", "star_rating").agg(F.sum(N).alias(N))
@@ -88,7 +91,7 @@ def _star_counts() -> list[Column]:
     return [F.sum(F.when(F.col("star_rating") == s, F.col(N)).otherwise(0)).alias(f"n_{s}") for s in STARS]
 
 
-def rating_histogram_wide(df: DataFrame) -> DataFrame:
+def rating_histogram_wide(df: DataFrame | Counted) -> DataFrame:
     """Per category one count for each rating, zero where there is none."""
     return _weighted(df).groupBy("product_category").agg(*_star_counts())
 
@@ -98,7 +101,7 @@ def histogram_mean(histogram: DataFrame) -> DataFrame:
     return histogram.groupBy("product_category").agg(_mean_rating().alias("mean_rating"))
 
 
-def category_summary(df: DataFrame) -> DataFrame:
+def category_summary(df: DataFrame | Counted) -> DataFrame:
     """Count, means and rating distribution of each category, from one pass over the reviews."""
     return (
         _weighted(df)
@@ -116,7 +119,7 @@ def _mean_by_purchase() -> list[Column]:
     ]
 
 
-def verified_means(df: DataFrame) -> DataFrame:
+def verified_means(df: DataFrame | Counted) -> DataFrame:
     """Mean rating per category of all, of verified and of unverified purchases."""
     return _weighted(df).groupBy("product_category").agg(*_mean_by_purchase())
 
@@ -132,7 +135,7 @@ def verified_gap_overall(gaps: DataFrame) -> DataFrame:
     return gaps.agg(F.avg("gap").alias("mean_gap"))
 
 
-def verified_margins(df: DataFrame) -> DataFrame:
+def verified_margins(df: DataFrame | Counted) -> DataFrame:
     """Counts and means per category and purchase kind, with both margins and the total.
 
     The reviews are aggregated to the finest grain first: grouping sets copy each input row once
@@ -154,16 +157,16 @@ def verified_margins(df: DataFrame) -> DataFrame:
     )
 
 
-def _known_purchases(df: DataFrame) -> DataFrame:
+def _known_purchases(df: DataFrame | Counted) -> DataFrame:
     return _weighted(df).where(F.col("verified_purchase").isin("Y", "N"))
 
 
-def verified_rating_counts(df: DataFrame) -> DataFrame:
+def verified_rating_counts(df: DataFrame | Counted) -> DataFrame:
     """Reviews of verified and of unverified purchases, in all and by rating."""
     return _known_purchases(df).groupBy("verified_purchase").agg(F.sum(N).alias(N), *_star_counts())
 
 
-def verified_rating_share(df: DataFrame) -> DataFrame:
+def verified_rating_share(df: DataFrame | Counted) -> DataFrame:
     """The ten slices purchase kind by rating, each with its share in percent of all ten.
 
     The window without keys runs over the ten aggregated rows, never over reviews.
@@ -174,9 +177,9 @@ def verified_rating_share(df: DataFrame) -> DataFrame:
     return slices.withColumn("share_pct", F.round(share.cast("double"), 1))
 
 
-def helpfulness_ratio(df: DataFrame) -> DataFrame:
+def helpfulness_ratio(df: DataFrame | Counted) -> DataFrame:
     """Helpful votes as a share of all votes, per rating."""
-    rated = df.where(is_rating(F.col("star_rating")))
+    rated = _weighted(df).where(is_rating(F.col("star_rating")))
     sums = rated.groupBy("star_rating").agg(
         F.sum("helpful_votes").alias("helpful_votes"), F.sum("total_votes").alias("total_votes")
     )
@@ -184,14 +187,14 @@ def helpfulness_ratio(df: DataFrame) -> DataFrame:
     return sums.withColumn("helpful_ratio", ratio).orderBy("star_rating")
 
 
-def helpfulness_mean_ratio(df: DataFrame) -> DataFrame:
+def helpfulness_mean_ratio(df: DataFrame | Counted) -> DataFrame:
     """Mean over reviews with votes of their own share of helpful votes, per rating."""
     voted = _with_shares(df).where(is_rating(F.col("star_rating"))).where(F.col(N_VOTED) > 0)
     mean = F.sum(HELPFUL_SHARE) / F.sum(N_VOTED)
     return voted.groupBy("star_rating").agg(mean.alias("mean_helpful_ratio")).orderBy("star_rating")
 
 
-def vine_contrast(df: DataFrame) -> DataFrame:
+def vine_contrast(df: DataFrame | Counted) -> DataFrame:
     """Mean rating of vine and of other reviews, and their distance."""
     means = _weighted(df).agg(
         _mean_rating(_is("vine", "Y")).alias("mean_vine"), _mean_rating(_is("vine", "N")).alias("mean_other")

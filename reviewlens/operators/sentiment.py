@@ -10,28 +10,32 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.text import count_words, explode_words, words
 from reviewlens.operators.words import N, telling_words
-from reviewlens.schema import is_rating
+from reviewlens.schema import Counted, is_rating
 
 WEIGHT = "avg_rating"
 
 # Longest word, in characters, that may be broadcast as one of many frequent words.
 LONGEST_FREQUENT_WORD = 64
 
+# What a broadcast takes for a word beside its bytes, which it holds twice, as key and in the row.
+WORD_BYTES = 130
+
 
 def word_weights(
-    reviews: DataFrame,
+    reviews: DataFrame | Counted,
     text: str = "review_body",
     filter_words: bool = False,
     stop_words: Iterable[str] | DataFrame | None = None,
 ) -> DataFrame:
     """Each word of the rated reviews with its mean rating and its number of occurrences.
 
-    Takes reviews, or the counts of their words per rating that `word_counts` returns. A word used
+    Takes reviews, or `Counted` words per rating, as `word_counts` returns them. A word used
     twice in a review counts twice. All words are kept unless `filter_words` asks for those that
     `top_words` would report.
     """
-    counts = reviews
-    if N not in reviews.columns:
+    if isinstance(reviews, Counted):
+        counts = reviews.rows
+    else:
         rated = reviews.where(is_rating(F.col("star_rating"))).select("star_rating", text)
         counts = explode_words(rated, text).withColumn(N, F.lit(1).cast("bigint"))
     mean = F.sum(F.col("star_rating") * F.col(N)) / F.sum(N)
@@ -39,11 +43,11 @@ def word_weights(
     return telling_words(weights, stop_words) if filter_words else weights
 
 
-def word_total(reviews: DataFrame, text: str = "review_body") -> DataFrame:
+def word_total(reviews: DataFrame | Counted, text: str = "review_body") -> DataFrame:
     """Number of word occurrences in the rated reviews, counted within each row, or in the counts
     of their words."""
-    if N in reviews.columns:
-        n = F.col(N)
+    if isinstance(reviews, Counted):
+        reviews, n = reviews.rows, F.col(N)
     else:
         reviews, n = reviews.where(is_rating(F.col("star_rating"))), count_words(F.col(text))
     return reviews.agg(F.coalesce(F.sum(n), F.lit(0)).alias(N))
@@ -54,12 +58,12 @@ def predict_ratings(
     weights: DataFrame,
     key: str = "review_id",
     text: str = "review_body",
-    max_broadcast_bytes: int = 32 << 20,
-    max_frequent_words: int = 200_000,
+    max_broadcast_bytes: int = 64 << 20,
+    max_frequent_bytes: int = 32 << 20,
     salts: int = 8,
 ) -> DataFrame:
-    """The predicted rating of each review, null where none of its words has a weight. Rows that
-    share a `key` are scored as one review.
+    """The predicted rating of each review, null where none of its words has a weight: one row for each
+    row of `reviews`, whether its `key` is repeated, shared by other texts or null.
 
     `weights` is read more than once, so pass a stored table. Its size decides the plan, not the
     result: a vocabulary within `max_broadcast_bytes` is broadcast whole and the words of a review
@@ -72,44 +76,54 @@ def predict_ratings(
         F.coalesce(F.sum(N), F.lit(0)).alias("occurrences"),
     ).first()
 
-    found = reviews.select(F.col(key), F.explode_outer(words(F.col(text))).alias("word"))
-    found = found.withColumn("word", F.nullif("word", F.lit("")))
-    if size["word_bytes"] + 16 * size["rows"] <= max_broadcast_bytes:
+    # Equal texts under one key are scored together and given back as often as they came.
+    body = F.col(text)
+    same_text = (F.xxhash64(body).alias("text_1"), F.xxhash64(F.lit(text), body).alias("text_2"))
+    found = reviews.select(F.col(key), *same_text, F.posexplode_outer(words(body)).alias("at", "word"))
+    first = (F.coalesce("at", F.lit(0)) == 0).cast("bigint")
+    found = found.select(key, *TEXT, first.alias("first"), F.nullif("word", F.lit("")).alias("word"))
+    if broadcast_bytes(size["rows"], size["word_bytes"]) <= max_broadcast_bytes:
         scored = found.join(F.broadcast(lookup.drop(N)), "word", "left")
-        return _mean(scored, key, F.col(WEIGHT), F.count(WEIGHT))
+        return _mean(scored, key, F.sum(WEIGHT), F.count(WEIGHT))
 
-    # Fewer than max_frequent_words words can each make up more than 1/max_frequent_words of all
-    # occurrences: the bound on what is broadcast holds for any vocabulary.
-    share = size["occurrences"] // max_frequent_words
-    frequent = (F.col(N) > share) & (F.length("word") <= LONGEST_FREQUENT_WORD)
+    # Fewer than n words can each make up more than 1/n of all occurrences: the bound on what is
+    # broadcast holds for any vocabulary.
+    n = max(1, max_frequent_bytes // broadcast_bytes(1, 4 * LONGEST_FREQUENT_WORD))
+    frequent = (F.col(N) > size["occurrences"] // n) & (F.length("word") <= LONGEST_FREQUENT_WORD)
     return _score_by_parts(found, lookup.where(frequent), lookup.where(~frequent), key, salts)
 
 
-def _mean(scored: DataFrame, key: str, weight: Column, hits: Column) -> DataFrame:
-    return scored.groupBy(key).agg(F.try_divide(F.sum(weight), hits).alias("predicted_rating"))
+# What tells apart the texts that share a key.
+TEXT = ("text_1", "text_2")
+
+
+def broadcast_bytes(n_words: int, word_bytes: int) -> int:
+    """What a broadcast vocabulary takes in each executor."""
+    return WORD_BYTES * n_words + 2 * word_bytes
+
+
+def _mean(scored: DataFrame, key: str, total: Column, hits: Column) -> DataFrame:
+    per_text = scored.groupBy(key, *TEXT).agg(F.try_divide(total, hits).alias("predicted_rating"), F.sum("first").alias("times"))
+    repeated = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")
+    return per_text.select(key, "predicted_rating", repeated).drop("copy")
 
 
 def _score_by_parts(found: DataFrame, frequent: DataFrame, rare: DataFrame, key: str, salts: int) -> DataFrame:
     """Scores with a broadcast of the frequent words and a shuffle for the others.
 
-    Frequent words are most of any text; they are added up in the task that read the review, which
-    leaves the shuffle one row for them and one per other word. The rows of a word that is rare in
-    training but in every scored review spread over `salts` tasks, with the rare weights copied as
-    often, and adaptive execution splits those further if one is still out of line.
+    Frequent words are most of any text; they are added up in the task that read the review, one row
+    per review. The other words go to an inner join with the rare weights, where those unseen in
+    training end. A word that is rare in training but in every scored review spreads over `salts`
+    tasks, with the rare weights copied as often, and adaptive execution splits those further if one
+    is still out of line. A last sum by review takes both.
     """
-    looked_up = found.join(F.broadcast(frequent.drop(N)), "word", "left")
-    rest = F.when(F.col(WEIGHT).isNull(), F.col("word")).alias("word")
-    per_review = looked_up.groupBy(key, rest).agg(
-        F.sum(WEIGHT).alias("known_sum"), F.count(WEIGHT).alias("known"), F.count("*").alias("times")
-    )
-    spread = F.xxhash64(key)
-    salt = F.when(F.col("word").isNull(), spread).otherwise(F.pmod(spread, F.lit(salts)))
+    known = found.join(F.broadcast(frequent.drop(N)), "word", "left")
+    known = known.groupBy(key, *TEXT).agg(F.sum(WEIGHT).alias("total"), F.count(WEIGHT).alias("hits"), F.sum("first").alias("first"))
+    others = found.where(F.col("word").isNotNull()).join(F.broadcast(frequent.select("word")), "word", "left_anti")
+    others = others.withColumn("salt", F.pmod(F.xxhash64(key, *TEXT), F.lit(salts)))
     numbers = F.array(*[F.lit(i).cast("bigint") for i in range(salts)])
     copies = rare.drop(N).withColumn("salt", F.explode(numbers))
     # A hint, as Spark's size estimate leaves the copying out and could broadcast them.
-    scored = per_review.withColumn("salt", salt).join(copies.hint("merge"), ["word", "salt"], "left")
-
-    # A row is either the frequent words of a review (no word) or one other word, with a weight or not.
-    hits = F.col("known") + F.when(F.col(WEIGHT).isNotNull(), F.col("times")).otherwise(0)
-    total = F.coalesce(F.col("known_sum"), F.col(WEIGHT) * F.col("times"))
-    return _mean(scored, key, total, F.sum(hits))
+    hit = others.join(copies.hint("merge"), ["word", "salt"])
+    hit = hit.select(key, *TEXT, F.col(WEIGHT).alias("total"), F.lit(1).cast("bigint").alias("hits"), F.lit(0).cast("bigint").alias("first"))
+    return _mean(known.unionByName(hit), key, F.sum("total"), F.sum("hits"))

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reviewlens.functions.text import default_stop_words, read_stop_words
 from reviewlens.operators import ratings, sentiment, words
+from reviewlens.plans.session import name_folder
+from reviewlens.schema import Counted
 from reviewlens.sources import files
 
 
 def rating_reports(reviews: DataFrame) -> dict[str, DataFrame]:
     """The reports on ratings and votes. All but the ranking of reviews come from one stored cube,
     so the reviews are read twice and not once per report."""
-    cube = files.store(ratings.rating_cube(reviews), "cube")
+    cube = Counted(files.store(ratings.rating_cube(reviews), "cube"))
     histogram = ratings.rating_histogram(cube)
     means = ratings.verified_means(cube)
     gaps = ratings.verified_gap(means)
@@ -45,13 +47,13 @@ def text_reports(reviews: DataFrame, stop_words) -> dict[str, DataFrame]:
     """The reports on words and the ratings they predict. Those on bodies come from one stored count,
     so bodies are taken apart once to learn and once to score."""
     counts = files.store(words.word_counts(reviews), "word-counts")
-    weights = files.store(sentiment.word_weights(counts), "weights")
+    weights = files.store(sentiment.word_weights(Counted(counts)), "weights")
     telling = words.telling_words(counts, stop_words)
     return {
         "top_words": words.rank_words_with_overall(telling, 10),
         "top_headline_words": words.top_headline_words(reviews, stop_words=stop_words),
         "word_weights": weights,
-        "word_total": sentiment.word_total(counts),
+        "word_total": sentiment.word_total(Counted(counts)),
         "predicted_ratings": sentiment.predict_ratings(reviews, weights),
     }
 
@@ -79,7 +81,11 @@ def main(args: list[str] | None = None) -> None:
     if options.marketplace:
         reviews = ratings.in_marketplace(reviews, options.marketplace)
     stop_words = read_stop_words(spark, options.stop_words) if options.stop_words else default_stop_words()
-    write_reports(reviews, options.out, stop_words)
+    name_folder(spark)
+    try:
+        write_reports(reviews, options.out, stop_words)
+    finally:
+        files.release(spark)
 
 
 if __name__ == "__main__":

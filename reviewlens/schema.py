@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,15 @@ STARS = (1, 2, 3, 4, 5)
 DEFAULT_HEADLINES = ("One Star", "Two Stars", "Three Stars", "Four Stars", "Five Stars")
 
 
+@dataclass(frozen=True)
+class Counted:
+    """Marks rows that stand for several reviews or words each and carry their number: a cube of
+    `rating_cube`, counts of `category_counts` or of `word_counts`. A frame without the mark has one row
+    per review, whatever its columns are called."""
+
+    rows: DataFrame
+
+
 def is_rating(star: Column) -> Column:
     """True for one to five stars; null for an unrated review."""
     return star.between(STARS[0], STARS[-1])

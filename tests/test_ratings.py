@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.operators import ratings
+from reviewlens.schema import Counted
 
 # Published counts of reviews by rating (1 to 5), in all, and their mean rating.
 PUBLISHED = {
@@ -41,7 +42,7 @@ def by_category(df, column):
 @pytest.fixture
 def published(spark):
     rows = [(c, s + 1, n) for c, (counts, _, _) in PUBLISHED.items() for s, n in enumerate(counts)]
-    return spark.createDataFrame(rows, "product_category string, star_rating int, n_reviews long")
+    return Counted(spark.createDataFrame(rows, "product_category string, star_rating int, n_reviews long"))
 
 
 def test_published_counts_and_means(published):
@@ -110,7 +111,7 @@ def mean(values):
 def either(request, reviews):
     """Reviews, or the cube of the same ones: every report must give the same on both."""
     table = reviews(random_rows(), COLUMNS)
-    return table if request.param == "reviews" else ratings.rating_cube(table)
+    return table if request.param == "reviews" else Counted(ratings.rating_cube(table))
 
 
 def test_category_reports(either):
@@ -237,3 +238,28 @@ def test_cube_is_small(reviews):
     cube = ratings.rating_cube(reviews(random_rows(), COLUMNS))
     assert cube.count() <= 3 * 5 * 6 * 3 * 3
     assert cube.agg(F.sum("n_reviews")).first()[0] == 3000
+
+
+REPORTS = [
+    ratings.category_counts,
+    ratings.total_count,
+    ratings.category_mean,
+    ratings.category_summary,
+    ratings.rating_cube,
+    ratings.rating_histogram,
+    ratings.rating_histogram_wide,
+    ratings.verified_means,
+    ratings.verified_margins,
+    ratings.verified_rating_counts,
+    ratings.verified_rating_share,
+    ratings.helpfulness_ratio,
+    ratings.helpfulness_mean_ratio,
+    ratings.vine_contrast,
+]
+
+
+@pytest.mark.parametrize("report", REPORTS)
+def test_column_names_do_not_make_reviews_counted(reviews, report):
+    table = reviews(random_rows()[:300], COLUMNS)
+    named = table.withColumns({name: F.lit(100) for name in ("n_reviews", "n_voted", "helpful_share", "n_words")})
+    assert sorted(map(str, report(named).collect())) == sorted(map(str, report(table).collect()))

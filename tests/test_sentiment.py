@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.operators import sentiment
 from reviewlens.operators.words import word_counts
+from reviewlens.schema import Counted
 from reviewlens.sources.files import store
 
 COLUMNS = "review_id string, star_rating int, review_body string"
@@ -46,7 +47,7 @@ def predictions_of(rows, weights):
 def either(request, reviews):
     """Reviews, or the counts of their words."""
     table = reviews(random_rows(), COLUMNS)
-    return table if request.param == "reviews" else word_counts(table)
+    return table if request.param == "reviews" else Counted(word_counts(table))
 
 
 def test_word_weights(either):
@@ -71,13 +72,16 @@ def test_filtered_weights(reviews):
     assert {r["word"] for r in unfiltered} == {"the", "good", "-x", "a", "10", "f***"}
 
 
+# What a frequent word is charged.
+FREQUENT = sentiment.broadcast_bytes(1, 4 * sentiment.LONGEST_FREQUENT_WORD)
+
 # The whole vocabulary broadcast; its frequent words only; none of them; all of them by their number.
 PLANS = [
     {},
-    {"max_broadcast_bytes": 0, "max_frequent_words": 20},
-    {"max_broadcast_bytes": 0, "max_frequent_words": 1},
-    {"max_broadcast_bytes": 0, "max_frequent_words": 10**6},
-    {"max_broadcast_bytes": 0, "max_frequent_words": 20, "salts": 1},
+    {"max_broadcast_bytes": 0, "max_frequent_bytes": 20 * FREQUENT},
+    {"max_broadcast_bytes": 0, "max_frequent_bytes": FREQUENT},
+    {"max_broadcast_bytes": 0, "max_frequent_bytes": 10**6 * FREQUENT},
+    {"max_broadcast_bytes": 0, "max_frequent_bytes": 20 * FREQUENT, "salts": 1},
 ]
 
 
@@ -137,3 +141,28 @@ def test_example_texts(spark, reviews):
         "perfect perfect terrible": pytest.approx(11 / 3),
         "unknown": None,
     }
+
+
+@pytest.mark.parametrize("options", PLANS)
+def test_every_review_is_predicted_by_itself(reviews, options):
+    """Whatever its identifier: repeated, repeated with the same text, or absent."""
+    trained = reviews([("a", 5, "good"), ("b", 1, "bad")], COLUMNS)
+    weights = store(sentiment.word_weights(trained), "weights")
+    rows = [("1", None, "good"), ("1", None, "bad bad"), (None, None, "good bad"), (None, None, "new"), ("1", None, "good")]
+    rows += [(None, None, None), (None, None, " ")]
+    found = sentiment.predict_ratings(reviews(rows, COLUMNS), weights, **options).collect()
+    expected = [("1", 5.0), ("1", 1.0), (None, 3.0), (None, None), ("1", 5.0), (None, None), (None, None)]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, expected))
+
+
+def test_column_names_do_not_make_reviews_counted(reviews):
+    table = reviews(random_rows()[:300], COLUMNS)
+    named = table.withColumns({name: F.lit(100) for name in ("n_reviews", "n_words", "word")})
+    for report in (sentiment.word_weights, sentiment.word_total):
+        assert sorted(map(str, report(named).collect())) == sorted(map(str, report(table).collect()))
+
+
+def test_stop_words_are_cleaned(reviews):
+    table = reviews([("1", 5, "don't go")], COLUMNS)
+    found = sentiment.word_weights(table, filter_words=True, stop_words=["Don't"]).collect()
+    assert {r["word"] for r in found} == {"go"}

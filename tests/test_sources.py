@@ -1,5 +1,6 @@
 import gzip
 from datetime import date
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -167,7 +168,9 @@ def test_whole_run(spark, tmp_path):
     stop = tmp_path / "stop.txt"
     stop.write_text("the\n")
     out = str(tmp_path / "out")
+    files.release(spark)
     run.main([str(source), out, "--tsv", "--marketplace", "US", "--stop-words", str(stop)])
+    assert not list(Path(files.shared_folder(spark).removeprefix("file:")).glob("*"))
 
     def report(name):
         return spark.read.parquet(f"{out}/{name}")
