@@ -1,0 +1,316 @@
+"""Each corpus operator against a brute-force version, on nulls, empty and long texts, ties, repeats,
+empty tables and columns with clashing names."""
+
+import hashlib
+import random
+import tempfile
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from reviewlens.llm import bpe, exact, language, mixing, packing, parsing, quality, queries, repeats, simhash, urls
+from reviewlens.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, score double, rule string, __copy int"
+VOCABULARY = queries.vocabulary()
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def sentence(r, words=12):
+    return " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 6))) for _ in range(words))
+
+
+def rows():
+    """Texts with nulls, blanks, copies, near copies and one long one, and odd identifiers."""
+    r = random.Random(5)
+    texts = [sentence(r, r.randint(1, 60)) for _ in range(40)]
+    texts += texts[:6] + [texts[7] + " x", texts[8][3:], None, None, "", " \n", "a", "<|endoftext|>", sentence(r, 4000)]
+    ids = [*range(len(texts) - 3), 5, 5, None]
+    kinds = [None, "b", "a", "ab"]
+    return [(i, t, "xy"[n % 2] if n % 5 else None, kinds[n % 4], 9.0, "r", 7) for n, (i, t) in enumerate(zip(ids, texts))]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def collected(df):
+    return sorted((tuple(row) for row in df.collect()), key=str)
+
+
+WEAK = {"digest": lambda text: F.encode((F.length(text) % 3).cast("string"), "utf-8")}
+
+
+@pytest.mark.parametrize("options", [{}, {"files_per_batch": 1}, WEAK])
+def test_exact_duplicates(docs, options):
+    groups = {}
+    for i, text, *_ in rows():
+        groups.setdefault(text or "", []).append(i)
+    largest = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    found = exact.exact_duplicates(docs, **options).collect()
+    expected = [(i, largest[t or ""], len(groups[t or ""])) for i, t, *_ in rows()]
+    assert sorted(map(str, ((r["doc_id"], r["keep_id"], r["group_size"]) for r in found))) == sorted(map(str, expected))
+    assert sum(r["kept"] for r in found) == len(groups)
+
+
+def test_exact_duplicates_are_dropped(docs, nothing):
+    left = exact.drop_exact_duplicates(docs)
+    assert left.columns == docs.columns
+    assert Counter(r["text"] or "" for r in left.collect()) == Counter({t or "" for _, t, *_ in rows()})
+    assert exact.exact_duplicates(nothing).collect() == []
+
+
+def test_mix(docs, nothing):
+    found = mixing.copies(docs).collect()
+    sizes = Counter()
+    for _, text, _, source, *_ in rows():
+        sizes[source] += len((text or "").split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    while True:
+        level = (1.5 * sum(sizes.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        above = {s for s in open_ if level * weight[s] >= 2 * sizes[s]}
+        if not above:
+            break
+        target |= {s: 2.0 * sizes[s] for s in above}
+        open_ -= above
+    target |= {s: level * weight[s] for s in open_}
+    taken = Counter()
+    for row in found:
+        assert row["target"] == pytest.approx(target[row["source"]])
+        assert 0 <= row["copies"] <= 2
+        taken[row["source"]] += row["taken"]
+    for source in order:  # within the largest document, as one more or less of it may be taken
+        assert abs(taken[source] - target[source]) <= max(r["size"] for r in found if r["source"] == source)
+    assert collected(mixing.copies(docs)) == sorted(map(tuple, found), key=str)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in found)
+    assert mixing.copies(nothing).collect() == [] and mixing.mix(nothing).collect() == []
+
+
+def test_bpe_agrees_with_the_library(docs, nothing):
+    found = bpe.encode(docs, VOCABULARY, decoded=True).collect()
+    expected = []
+    for i, text, *_ in rows():
+        ids = LIBRARY.encode(text or "", add_special_tokens=False).ids
+        expected.append((i, ids, LIBRARY.decode(ids, skip_special_tokens=False)))
+    assert sorted(map(str, ((r["doc_id"], r["ids"], r["decoded"]) for r in found))) == sorted(map(str, expected))
+    assert bpe.encode(nothing, VOCABULARY).collect() == []
+
+
+def test_bpe_on_odd_texts():
+    r = random.Random(2)
+    pools = ["ab '", "0123 .,!?'s　\u0085\x1c​", "的 是éß漢", "".join(map(chr, range(0x250))), "ꟍ\U000323b0a1"]
+    texts = ["".join(r.choice(r.choice(pools)) for _ in range(r.randrange(80))) for _ in range(1500)] + ["ab" * 500]
+    texts += ["".join(chr(r.choice([r.randrange(0xD800), r.randrange(0xE000, 0x110000)])) for _ in range(30)) for _ in range(300)]
+    ids = VOCABULARY.encode_all(texts)
+    assert ids == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [VOCABULARY.decode(i) for i in ids] == texts
+
+
+def test_packing_is_lossless(spark, docs, nothing, tmp_path):
+    packing.write(packing.pack(docs, VOCABULARY, 64), str(tmp_path / "packed"))
+    pieces, stored = [], spark.read.parquet(str(tmp_path / "packed"))
+    for row in stored.collect():
+        ids, ends = np.frombuffer(row["ids"], "<u2").tolist(), row["cu_seqlens"]
+        assert ends[-1] == row["n_tokens"] == len(ids) <= 64
+        places = np.frombuffer(row["position_ids"], "<u2").tolist()
+        assert places == [p for a, b in zip(ends, ends[1:]) for p in range(b - a)]
+        for key, piece, a, b in zip(row["doc_ids"], row["pieces"], ends, ends[1:]):
+            pieces.append((key, piece, ids[a:b]))
+    expected = []
+    for i, text, *_ in rows():
+        ids = VOCABULARY.encode(text or "")
+        expected += [(i, n, ids[a : a + 64]) for n, a in enumerate(range(0, len(ids), 64))]
+    assert sorted(map(str, pieces)) == sorted(map(str, expected))
+    padded = [(ids, ends) for ids, _, ends in packing.read_rows(spark, str(tmp_path / "packed"), 64, pad=9)]
+    assert len(padded) == stored.count() and all(len(ids) == 64 and (ids[e[-1] :] == 9).all() for ids, e in padded)
+    assert packing.pack(nothing, VOCABULARY).collect() == []
+
+
+def test_best_fit_decreasing():
+    r = random.Random(1)
+    sizes = sorted((r.randint(1, 40) for _ in range(300)), reverse=True)
+    free = []
+    for size in sizes:  # by hand: the fullest open row with room
+        fits = [n for n, left in enumerate(free) if left >= size]
+        best = min(fits, key=lambda n: free[n], default=None)
+        if best is None:
+            free.append(40 - size)
+        else:
+            free[best] -= size
+    found = packing.best_fit_decreasing(sizes, 40)
+    assert sorted(i for row in found for i in row) == list(range(300))
+    assert sorted(40 - sum(sizes[i] for i in row) for row in found) == sorted(free)
+
+
+def slow_print(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum((sum(h >> b & 1 for h in hashes) * 2 > len(hashes)) << b for b in range(64))
+
+
+@pytest.mark.parametrize("radius", [4, 14])
+def test_simhash(docs, radius):
+    listed = [(i, slow_print(t)) for i, t, *_ in rows()]
+    label = [i for i, _ in listed]
+    near = [[n for n, (_, b) in enumerate(listed) if (a ^ b).bit_count() <= radius] for _, a in listed]
+    for _ in listed:
+        label = [min((label[n] for n in ns if label[n] is not None), default=None) for ns in near]
+    expected = [(i, f"{p:016x}", c) for (i, p), c in zip(listed, label)]
+    assert collected(simhash.near_duplicates(docs, radius=radius)) == sorted(expected, key=str)
+    group = list(range(len(listed)))  # by row, as rows with one identifier may be in different components
+    for _ in listed:
+        group = [min(group[n] for n in ns) for ns in near]
+    left = simhash.drop_near_duplicates(docs, radius=radius)
+    assert left.columns == docs.columns and left.count() == len(set(group))
+
+
+def test_simhash_of_nothing(nothing):
+    assert simhash.near_duplicates(nothing).collect() == []
+
+
+def test_small_tiles_miss_no_link(spark):
+    r = random.Random(3)
+    prints = {r.getrandbits(6) * 0x0101010101010101 ^ 1 << r.randrange(64) for _ in range(150)}
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 3, tile=4)
+    root = {r["node"]: r["root"] for r in components(edges).collect()}
+    label = {p: p for p in signed}
+    for _ in signed:
+        label = {p: min(label[q] for q in signed if ((p ^ q) & (1 << 64) - 1).bit_count() <= 3) for p in signed}
+    assert {p: root.get(p, p) for p in signed} == label
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(n, n + 1) for n in range(60)] + [(100, 101), (5, 5)], "a long, b long")
+    found = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert found == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def test_parsing(docs, nothing):
+    parsing.STRETCH_ROWS, before = 10, parsing.STRETCH_ROWS
+    try:
+        found = parsing.edited_likeness(docs).collect()
+    finally:
+        parsing.STRETCH_ROWS = before
+    ordered = sorted(((i, t or "") for i, t, *_ in rows()), key=lambda x: (x[0] is None, -(x[0] or 0)))
+    by_id = {r["doc_id"]: r for r in found if r["doc_id"] != 5}
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        if i == 5 or i == 6:  # three rows share 5, in an order of their own
+            continue
+        row = by_id[i]
+        assert row["n_chars"] == len(text)
+        assert row["edited_sha256"] == hashlib.sha256(parsing.edit(text, after).encode()).hexdigest()
+        assert row["fingerprint"] == parsing.fingerprints([text.encode()])[0]
+        assert row["near_next"] == parsing.likeness(row["fingerprint"], parsing.fingerprints([after.encode()])[0])
+        assert row["near_edited"] == parsing.likeness(row["fingerprint"], row["edited_fingerprint"])
+    assert len(found) == len(ordered) and parsing.edited_likeness(nothing).collect() == []
+
+
+def test_parsing_does_not_depend_on_offset():
+    r = random.Random(4)
+    body = sentence(r, 400)
+    a, b, other = parsing.fingerprints([body.encode(), ("xyz " + body).encode(), sentence(r, 400).encode()])
+    assert parsing.likeness(a, b) > 0.9 and parsing.likeness(a, other) < 0.1 and parsing.likeness(a, a) == 1
+
+
+@pytest.mark.parametrize("most", [1024, 2])
+def test_repeats(docs, most):
+    texts = [(t or "").encode() for _, t, *_ in rows()]
+    counts = Counter(t[s : s + 20] for t in texts for s in range(len(t) - 19))
+    expected = []
+    for (i, *_), t in zip(rows(), texts):
+        gone = np.zeros(len(t) + 2, int)
+        for s in range(len(t) - 19):
+            if counts[t[s : s + 20]] > 1:
+                gone[s + 1 : s + 21] = 1
+        kept = bytes(b for b, g in zip(t, gone[1:-1]) if not g)
+        expected.append((i, int((np.diff(gone) == 1).sum()), kept))
+    found = repeats.remove_repeats(docs, length=20, gram=7, most=most).collect()
+    assert sorted(map(str, ((r["doc_id"], len(r["spans"] or ()), bytes(r["kept"])) for r in found))) == sorted(map(str, expected))
+
+
+def test_collection_of_all_bytes():
+    r = random.Random(6)
+    strings = [bytes(r.choice(bytes(range(256)) if n % 2 else b"ab") for _ in range(r.randint(1, 60))) for n in range(40)]
+    counts = Counter(t[s : s + 5] for t in strings for s in range(len(t) - 4))
+    with tempfile.TemporaryDirectory() as folder:
+        collection = repeats.Collection(strings, folder, 5)
+        found = collection.repeated()
+        collection.close()
+    assert [f.tolist() for f in found] == [[s for s in range(len(t) - 4) if counts[t[s : s + 5]] > 1] for t in strings]
+
+
+def test_repeats_of_nothing(nothing):
+    assert repeats.remove_repeats(nothing).collect() == []
+
+
+def test_language(spark, docs, nothing):
+    r = random.Random(7)
+    tongues = {"one": ["salo", "mira", "tolo"], "two": ["krych", "schtz", "brng"]}
+    made = [(n, " ".join(r.choice(tongues[l]) for _ in range(30)), l) for n, l in enumerate(["one", "two"] * 40)]
+    mixed = " ".join(r.choice(tongues["one"]) for _ in range(80)) + " " + " ".join(r.choice(tongues["two"]) for _ in range(40))
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    model = language.fit(table)
+    asked = spark.createDataFrame([*[m[:2] for m in made], (100, mixed), (101, None), (102, "123 !"), (None, "")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in language.identify(asked, model).collect()}
+    assert all(found[n]["lang_pred"] == l and 0 <= found[n]["score"] <= 1 for n, _, l in made)
+    assert found[100]["lang_pred"] == "one" and found[100]["score"] == pytest.approx(2 / 3, abs=0.1)
+    assert "two" in found[100]["mixture"]
+    assert [found[n]["lang_pred"] for n in (101, 102, None)] == ["und"] * 3
+    assert language.identify(nothing, language.fit(nothing)).collect() == []
+    assert {r["lang_pred"] for r in language.identify(docs, language.fit(nothing)).collect()} == {"und"}
+
+
+def test_quality(spark, docs, nothing):
+    r = random.Random(8)
+    made = [(n, sentence(r, 60) if n % 3 else "BUY!! " * r.randint(5, 50), int(n % 3 > 0)) for n in range(240)]
+    table = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, q) for n, _, q in made] + [(999, None), (None, 1)], "doc_id long, quality int")
+    model = quality.fit(table, labels)
+    scores = {r["doc_id"]: r["score"] for r in quality.score(table, model).collect()}
+    assert all((scores[n] >= 0.5) == bool(q) for n, _, q in made)
+    scored = quality.score(docs, model)
+    assert scored.count() == docs.count() and all(0 <= r["score"] <= 1 for r in scored.collect())
+    kept = quality.keep_good(table, model)
+    assert kept.columns == table.columns and kept.count() == sum(q for *_, q in made)
+    assert quality.fit(nothing, labels) == 0.5 and quality.score(nothing, model).collect() == []
+
+
+def test_urls(spark):
+    r = random.Random(9)
+    hosts = ["example.org", "a.EXAMPLE.org", "org", "b.example.com", "com", "xorg", "example.org:80", ""]
+    paths = ["", "/", "/es/", "/es", "/en/1", "/en/19?x", "/fr/a#b", "/de/?q=/fr/", "/x"]
+    made = [(n, f"{r.choice(['http', 'https', ''])}{r.choice(['://', ':'])}{r.choice(hosts)}{r.choice(paths)}") for n in range(300)]
+    made += [(None, None), (1, "http://example.org/es/")]
+    table = spark.createDataFrame([(*m, "x") for m in made], "page_id long, url string, verdict string")
+    expected = []
+    for i, url in made:
+        host, path = urls.split_url(url)
+        fits = [x for x in queries.RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        best = max(fits, key=lambda x: len(x.name), default=None)
+        expected.append((i, host, path, best and best.name, best.verdict if best else "allow"))
+    for per_pass in (200_000, 2):
+        assert collected(urls.judge(table, queries.RULES, rules_per_pass=per_pass)) == sorted(expected, key=str)
+    assert urls.judge(table.where("false"), queries.RULES).collect() == []
+
+
+def test_rules_are_filed_under_their_rarest_token():
+    index = urls.Index(queries.RULES, {"org": 50, "example": 90, "es": 3, "en": 40, "com": 60, "fr": 70, "de": 1})
+    filed = {token: [rule.name for *_, rule in entries] for token, entries in index.by_token.items()}
+    assert filed == {"org": ["org/"], "es": ["example.org/es/"], "en": ["example.org/en/1"], "com": ["com/fr/"], "de": ["com/de/"]}
+    assert urls.Rule("a.org", "/x*y/zed", "block").tokens == ("a", "org")
