@@ -105,7 +105,7 @@ class Vocabulary:
         self._later = re.compile(f"[{_LATER}]").search
         longest_first = sorted(self.special, key=len, reverse=True)
         self._specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
-        self._known = {content: [i] for content, i in self.special.items()}
+        self._known: dict[str, bytes] = {content: _packed([i]) for content, i in self.special.items()}
         self._table = PairTable(self.merges)
         self._base = np.array(self.base, np.int32)
 
@@ -129,25 +129,30 @@ class Vocabulary:
         """Merges pieces not met before: short ones together by length, a long one by itself."""
         if len(self._known) + len(pieces) > CACHED_PIECES:
             self._known.clear()
-            self._known.update((content, [i]) for content, i in self.special.items())
-        by_width: dict[int, list[str]] = {}
-        for piece in pieces - self._known.keys():
-            size = len(piece.encode())
-            if size > TOGETHER:
-                self._known[piece] = merge_pairs([self.base[b] for b in piece.encode()], self.merges)
-            else:
-                by_width.setdefault((size - 1).bit_length(), []).append(piece)
-        for bits, some in by_width.items():
-            width = max(2, 1 << bits)
-            for start in range(0, len(some), 1 << 14):
-                part = some[start : start + (1 << 14)]
-                self._known.update(zip(part, merge_together(part, width, self._base, self._table)))
-
-    def encode_all(self, texts: Sequence[str]) -> list[list[int]]:
+            self._known.update((content, _packed([i])) for content, i in self.special.items())
+        new = list(pieces - self._known.keys())
+        raw = [piece.encode() for piece in new]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        for i in np.flatnonzero(sizes > TOGETHER).tolist():
+            self._known[new[i]] = _packed(merge_pairs([self.base[b] for b in raw[i]], self.merges))
+        width = 2
+        while width <= TOGETHER:
+            fits = np.flatnonzero((sizes <= width) & ((sizes > width // 2) | (width == 2)))
+            for start in range(0, len(fits), 1 << 14):
+                part = fits[start : start + (1 << 14)].tolist()
+                merged = merge_together([raw[i] for i in part], width, self._base, self._table)
+                self._known.update(zip([new[i] for i in part], merged))
+            width *= 2
+
+    def encode_arrays(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text; special tokens written out in one are taken for what they are."""
         cut = [self._cut(text) for text in texts]
         self._learn(set(chain.from_iterable(cut)))
-        return [list(chain.from_iterable(map(self._known.__getitem__, pieces))) for pieces in cut]
+        known = self._known.__getitem__
+        return [np.frombuffer(b"".join(map(known, pieces)), np.int32) for pieces in cut]
+
+    def encode_all(self, texts: Sequence[str]) -> list[list[int]]:
+        return [ids.tolist() for ids in self.encode_arrays(texts)]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
@@ -156,6 +161,10 @@ class Vocabulary:
         return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", "replace")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
 def merge_pairs(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Merges the leftmost pair of the lowest rank until no pair has one."""
     n = len(symbols)
@@ -242,13 +251,13 @@ class PairTable:
         return ranks
 
 
-def merge_together(pieces: Sequence[str], width: int, base: np.ndarray, table: PairTable) -> list[list[int]]:
-    """`merge_pairs` of many pieces of at most `width` bytes (a power of two), a step of all at a time.
+def merge_together(raw: Sequence[bytes], width: int, base: np.ndarray, table: PairTable) -> list[bytes]:
+    """The packed ids of many pieces of at most `width` bytes (a power of two), by the same merges as
+    `merge_pairs`, a step of all at a time.
 
     Every piece has a tree of its own, a row of `tree`; a step takes the leftmost pair of the lowest
     rank of each piece that still has one.
     """
-    raw = [piece.encode() for piece in pieces]
     n, none = len(raw), table.none
     sizes = np.fromiter(map(len, raw), np.int64, n)
     inside = np.arange(width) < sizes[:, None]
@@ -302,8 +311,8 @@ def merge_together(pieces: Sequence[str], width: int, base: np.ndarray, table: P
             tree_[top + nodes] = np.minimum(tree_[below], tree_[below + 1])
 
     kept = symbols[:, :width] >= 0
-    ids = symbols[:, :width][kept].tolist()
-    ends = np.cumsum(kept.sum(1)).tolist()
+    ids = symbols[:, :width][kept].tobytes()
+    ends = np.cumsum(4 * kept.sum(1)).tolist()
     return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
@@ -340,11 +349,13 @@ def _encoder(at_hand, decoded: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(start, ROWS_OUT)
-                ids = vocabulary.encode_all(strings(part.column(1)))
-                columns = [part.column(0), pa.array(ids, pa.list_(pa.int32()))]
+                ids = vocabulary.encode_arrays(strings(part.column(1)))
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                columns = [part.column(0), listed]
                 names = ["doc_id", "ids"]
                 if decoded:
-                    columns.append(pa.array([vocabulary.decode(i) for i in ids], pa.string()))
+                    columns.append(pa.array([vocabulary.decode(i.tolist()) for i in ids], pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -115,9 +115,9 @@ def _pieces(
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
             keys, numbers, sizes, ids = [], [], [], []
-            encoded_texts = vocabulary.encode_all(strings(part.column(1)))
+            encoded_texts = vocabulary.encode_arrays(strings(part.column(1)))
             for key, found in zip(part.column(0).to_pylist(), encoded_texts):
-                encoded = np.array(found, kind)
+                encoded = found.astype(kind)
                 for number, first in enumerate(range(0, len(encoded), length)):
                     piece = encoded[first : first + length]
                     keys.append(key)
