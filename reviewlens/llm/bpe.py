@@ -56,7 +56,8 @@ PIECES = _pattern(r"\p{L}", r"\p{N}", rf"[^{SPACE}\p{{L}}\p{{N}}]")
 _L, _N = rf"[\p{{L}}--[{_LATER}]]", rf"[\p{{N}}--[{_LATER}]]"
 PIECES_WITH_LATER = "(?V1)" + _pattern(_L, _N, rf"(?:(?!{_L}|{_N})[^{SPACE}])")
 
-# Pieces whose ids a task remembers between batches.
+# Pieces whose ids a task remembers between batches, beside those of the batch at hand: half of them the
+# latest, half those before, of which pieces met again stay.
 CACHED_PIECES = 1 << 17
 
 # Longest piece, in bytes, that is merged together with others.
@@ -105,7 +106,8 @@ class Vocabulary:
         self._later = re.compile(f"[{_LATER}]").search
         longest_first = sorted(self.special, key=len, reverse=True)
         self._specials = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if self.special else None
-        self._known: dict[str, bytes] = {content: _packed([i]) for content, i in self.special.items()}
+        self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
         self._table = PairTable(self.merges)
         self._base = np.array(self.base, np.int32)
 
@@ -127,10 +129,14 @@ class Vocabulary:
 
     def _learn(self, pieces: set[str]) -> None:
         """Merges pieces not met before: short ones together by length, a long one by itself."""
-        if len(self._known) + len(pieces) > CACHED_PIECES:
-            self._known.clear()
-            self._known.update((content, _packed([i])) for content, i in self.special.items())
-        new = list(pieces - self._known.keys())
+        if len(self._known) > CACHED_PIECES // 2:
+            self._before, self._known = self._known, {}
+        new = pieces - self._known.keys()
+        met = new & self._before.keys()
+        self._known.update(zip(met, map(self._before.__getitem__, met)))
+        special = new & self.special.keys()
+        self._known.update((content, _packed([self.special[content]])) for content in special)
+        new = list(new - met - special)
         raw = [piece.encode() for piece in new]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         for i in np.flatnonzero(sizes > TOGETHER).tolist():
