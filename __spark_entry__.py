@@ -107,7 +107,9 @@ def _category_from_file(reviews: DataFrame) -> DataFrame:
         F.lit("data_reviews_"), country, F.lit("_"), F.col("product_category"), F.lit("_v1_00.tsv.gz")
     )
     files_of = reviews.groupBy(name.alias("name")).agg(F.count("*").alias("n_reviews"))
-    parsed = files_of.withColumn("product_category", category_from_file_name(F.col("name")))
+    # Tied to the count, or the optimizer moves the filter below it and parses a name for every review.
+    category = F.when(F.col("n_reviews") > 0, category_from_file_name(F.col("name")))
+    parsed = files_of.withColumn("product_category", category)
     return ratings.category_counts(Counted(parsed.where(F.col("product_category").isNotNull())))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from reviewlens.schema import REVIEW_SCHEMA, conform
 # quote all the same, so it gets a code point that is no character. An empty one would mean NUL.
 TSV = {"sep": "\t", "quote": "\ufdd0", "escape": "\ufdd0"}
 
+BAD_LINE = "__bad_line"
+
 
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Reviews from a Parquet tree, `product_category` being a column or a partition of it."""
@@ -30,24 +33,67 @@ def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return conform(found)
 
 
+def _read_lines(spark: SparkSession, path: str | list[str], checked: bool) -> DataFrame:
+    """Lines of tab-separated files, without headers. If `checked`, column `BAD_LINE` holds a line that has
+    another number of fields than the schema or a field that is not of its type.
+
+    Fields are read as text and cast here: the reader itself looks at the types of only those columns a
+    query asks for, so a line would be bad in one report and good in the next.
+    """
+    schema = T.StructType([T.StructField(f.name, T.StringType()) for f in REVIEW_SCHEMA])
+    options = {**TSV, "header": False, "mode": "PERMISSIVE"}
+    if checked:
+        schema = schema.add(BAD_LINE, T.StringType())
+        options |= {"columnNameOfCorruptRecord": BAD_LINE, "columnPruning": False}
+    first = REVIEW_SCHEMA[0].name
+    rows = spark.read.schema(schema).options(**options).csv(path)
+    rows = rows.where(~F.coalesce(F.col(first).startswith(first), F.lit(False)))
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in REVIEW_SCHEMA if f.dataType != T.StringType()}
+    if checked:
+        unreadable = reduce(or_, [F.col(name).isNotNull() & value.isNull() for name, value in typed.items()])
+        fields = [F.coalesce(F.col(f.name), F.lit("")) for f in REVIEW_SCHEMA]
+        typed[BAD_LINE] = F.coalesce(BAD_LINE, F.when(unreadable, F.concat_ws("\t", *fields)))
+    return rows.withColumns(typed)
+
+
 def read_tsv(
-    spark: SparkSession, path: str | list[str], category_from_file: bool = False, marketplace: str = "us"
+    spark: SparkSession,
+    path: str | list[str],
+    category_from_file: bool = False,
+    marketplace: str = "us",
+    bad: str = "fail",
 ) -> DataFrame:
     """Reviews from tab-separated files, compressed or not, with or without header lines.
 
     Quotes are ordinary characters: with Spark's default an unbalanced one swallows the tabs after
     it. A line whose first field starts with the header's is dropped wherever it stands, as files
     put together from parts repeat it. With `category_from_file` the category is that in the file
-    name, and files named otherwise are left out.
+    name, and files named otherwise are left out. An empty field is null.
+
+    `bad` says what becomes of a line with too few or too many fields, or a number or date that cannot
+    be read: "fail" the job, "drop" the line, or "keep" it with nulls for what it lacks. `bad_lines`
+    shows them.
 
     A gzip file is read by one task: convert once with `write_parquet`, or see `spread`.
     """
-    rows = spark.read.schema(REVIEW_SCHEMA).options(**TSV, header=False, mode="PERMISSIVE").csv(path)
+    if bad not in ("fail", "drop", "keep"):
+        raise ValueError(f"bad is {bad!r}, not fail, drop or keep")
+    rows = _read_lines(spark, path, checked=bad != "keep")
     if category_from_file:
         name = category_from_file_name(F.col("_metadata.file_name"), marketplace)
         rows = rows.withColumn("product_category", name).where(F.col("product_category").isNotNull())
-    first = REVIEW_SCHEMA[0].name
-    return rows.where(~F.coalesce(F.col(first).startswith(first), F.lit(False)))
+    if bad == "drop":
+        rows = rows.where(F.col(BAD_LINE).isNull())
+    if bad == "fail":
+        told = F.concat(F.lit("unreadable line: "), F.substring(BAD_LINE, 1, 200))
+        rows = rows.where(F.when(F.col(BAD_LINE).isNull(), True).otherwise(F.raise_error(told).cast("boolean")))
+    return rows.drop(BAD_LINE)
+
+
+def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines that `read_tsv` cannot read whole, each with the name of its file, to count or to store."""
+    rows = _read_lines(spark, path, checked=True).where(F.col(BAD_LINE).isNotNull())
+    return rows.select(F.col("_metadata.file_name").alias("file"), F.col(BAD_LINE).alias("line"))
 
 
 def union_parts(parts: Iterable[DataFrame]) -> DataFrame:
@@ -68,15 +114,19 @@ def write_parquet(reviews: DataFrame, path: str) -> None:
     """Reviews as Parquet, one folder per category.
 
     Rebalancing gathers a category into files of the advisory size and splits one too large for a
-    task, however many reviews a single category holds.
+    task, however many reviews a single category holds. An empty category is refused: its folder would
+    be that of the null one.
     """
-    balanced = reviews.hint("rebalance", "product_category")
+    category = F.col("product_category")
+    told = F.raise_error(F.lit("an empty product_category cannot name a folder"))
+    named = reviews.withColumn("product_category", F.when(category == "", told.cast("string")).otherwise(category))
+    balanced = named.hint("rebalance", "product_category")
     balanced.write.mode("errorifexists").partitionBy("product_category").parquet(path)
 
 
 def write_tsv(reviews: DataFrame, path: str) -> None:
     """Reviews as gzip files of tab-separated lines, each under a header line. Tabs and line breaks in
-    a field become spaces, as the form has no quoting."""
+    a field become spaces, as the form has no quoting; null and empty fields are written alike."""
     fields = [F.regexp_replace(F.col(f.name).cast("string"), r"[\t\r\n]+", " ").alias(f.name) for f in REVIEW_SCHEMA]
     spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
     options = {**TSV, **spaces, "header": True, "compression": "gzip"}

@@ -76,6 +76,35 @@ def test_tsv_category_from_file(spark, tmp_path):
     assert counts == {"Home Improvement": 3, "PC": 1}
 
 
+def test_tsv_bad_lines(spark, tmp_path):
+    short, long, word = "US\tc2\tr2", line(3) + "\textra", line(4, star="five")
+    path = write_gz(tmp_path / "a.tsv.gz", [HEADER, line(1), short, long, word, line(5, star=""), HEADER])
+    with pytest.raises(Exception, match="unreadable line"):
+        files.read_tsv(spark, path).count()
+    with pytest.raises(Exception, match="unreadable line"):
+        files.read_tsv(spark, path).select("review_body").collect()
+    dropped = files.read_tsv(spark, path, bad="drop")
+    assert dropped.columns == REVIEW_SCHEMA.names
+    assert {r["review_id"] for r in dropped.collect()} == {"r1", "r5"} and dropped.count() == 2
+    kept = {r["review_id"]: r["star_rating"] for r in files.read_tsv(spark, path, bad="keep").collect()}
+    assert kept == {"r1": 5, "r2": None, "r3": 5, "r4": None, "r5": None}
+    found = files.bad_lines(spark, path)
+    assert {tuple(r) for r in found.collect()} == {("a.tsv.gz", bad) for bad in (short, long, word)}
+    assert found.count() == 3
+    with pytest.raises(ValueError, match="skip"):
+        files.read_tsv(spark, path, bad="skip")
+
+
+def test_an_empty_category_is_not_taken_for_a_null_one(spark, reviews, tmp_path):
+    rows = [("r1", "A"), ("r2", None)]
+    columns = "review_id string, product_category string"
+    files.write_parquet(reviews(rows, columns), str(tmp_path / "ok"))
+    back = files.read_parquet(spark, str(tmp_path / "ok"))
+    assert {(r["review_id"], r["product_category"]) for r in back.collect()} == set(rows)
+    with pytest.raises(Exception, match="empty product_category"):
+        files.write_parquet(reviews([*rows, ("r3", "")], columns), str(tmp_path / "refused"))
+
+
 def test_tsv_written_and_read(spark, reviews, tmp_path):
     odd = ['un"balanced', "back\\slash\\", '"both"', "'q'", "# hash", " padded ", '\\"', ",", "é ", None]
     odd += ["a\x00b", "\x00a\x00", "\x00"]
