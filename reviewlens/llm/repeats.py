@@ -6,9 +6,11 @@ one anchor make a segment. Segments whose anchor stands nowhere else cannot repe
 after one count; those of an anchor that only ever stands in one and the same segment repeat whole.
 Of the others, those stay that agree with another on half of what a window holds beside its anchor,
 just before or just after it, as one of the two lies in any window. Those are compared: all segments of some anchors are a collection
-of short documents, for which the Burrows-Wheeler transform and the common prefixes of neighbouring
+of short documents, in which an anchor is one symbol, as every window of a segment holds it whole. For
+these the Burrows-Wheeler transform and the common prefixes of neighbouring
 suffixes are built by inserting one symbol per document each round, from its last on, reading and
-writing them as sequential files. Common prefixes of LENGTH bytes are repeated windows.
+writing them as sequential files. Common prefixes of as many symbols as a
+window has are repeated windows.
 
 An anchor in more different segments than a collection holds, such as a very common line, is split:
 its windows are counted by a 128-bit hash of their bytes.
@@ -81,8 +83,8 @@ def _least_of_each(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
-    """The segments of a text, by column: first window start, number of starts, hash of the anchor, hash
-    of the half window before it and whether the segment holds that, and the same for after it."""
+    """The segments of a text, by column: first window start, number of starts, bytes before the
+    anchor, its hash, hash of the half window before it and whether the segment holds that, and the same for after it."""
     codes = np.frombuffer(text, np.uint8)
     half = (length - gram + 1) // 2
     found = []
@@ -97,7 +99,7 @@ def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> list[np.nda
         anchor = (_least_of_each(placed, length - gram + 1) & _U((1 << 20) - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         n, anchor = np.diff(first, append=len(anchor)), anchor[first]
-        columns = [first + begin, n, grams[anchor]]
+        columns = [first + begin, n, anchor - first, grams[anchor]]
         for at in (anchor - half, anchor + gram):
             held = (at >= first) & (at + half <= first + n + length - 1)
             at = np.where(held, at, 0)
@@ -107,11 +109,11 @@ def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> list[np.nda
 
 
 _PLACE = "f bigint, row bigint"
-_SEGMENT = f"{_PLACE}, first int, n int, anchor bigint, c1 bigint, c2 bigint, ahead bigint, behind bigint"
+_SEGMENT = f"{_PLACE}, first int, n int, at int, anchor bigint, c1 bigint, c2 bigint, ahead bigint, behind bigint"
 
 
 def _all_segments(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ["f", "row", "first", "n", "anchor", "c1", "c2", "ahead", "behind"]
+    names = ["f", "row", "first", "n", "at", "anchor", "c1", "c2", "ahead", "behind"]
     for batch in batches:
         files, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         found, digests, owners = [], [], []
@@ -127,9 +129,9 @@ def _all_segments(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
         if not found:
             continue
         owner = np.concatenate(owners)
-        first, n, anchor, ahead, has_ahead, behind, has_behind = (np.concatenate(x) for x in zip(*found))
+        first, n, at, anchor, ahead, has_ahead, behind, has_behind = (np.concatenate(x) for x in zip(*found))
         content = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        columns = [files[owner], rows[owner], first.astype(np.int32), n.astype(np.int32), anchor.view(np.int64)]
+        columns = [files[owner], rows[owner], *(c.astype(np.int32) for c in (first, n, at)), anchor.view(np.int64)]
         columns = [pa.array(c) for c in (*columns, content[:, 0], content[:, 1])]
         columns += [pa.array(ahead.view(np.int64), mask=~has_ahead), pa.array(behind.view(np.int64), mask=~has_behind)]
         for start in range(0, len(owner), 1 << 16):
@@ -146,14 +148,16 @@ class Collection:
     the next round.
     """
 
-    def __init__(self, strings: Sequence[bytes], folder: str, most: int):
+    def __init__(self, strings: Sequence[bytes | np.ndarray], folder: str, most: int):
         self.n, self.most = len(strings), most
         self.sizes = np.fromiter(map(len, strings), np.int64, self.n)
-        joined = np.frombuffer(b"".join(strings), np.uint8)
-        used = np.unique(joined)
-        self.kind = np.uint8 if len(used) < 256 else np.uint16
-        code = np.zeros(256, self.kind)
-        code[used] = np.arange(1, len(used) + 1)
+        joined = np.concatenate([np.asarray(memoryview(s)) for s in strings])
+        times = np.bincount(joined)
+        used = np.flatnonzero(times)
+        self.alphabet = len(used) + 1
+        self.kind = np.min_scalar_type(len(used))
+        code = np.zeros(len(times), self.kind)
+        code[used] = np.arange(1, self.alphabet)
         self.symbols = code[joined]
         self.ends = np.cumsum(self.sizes)
         # Opened once and written over: a file that is emptied and closed each round would wait for the disk.
@@ -183,39 +187,60 @@ class Collection:
         for file in self.files:
             file.close()
 
-    def _ranks(self, transform: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Entries in order of symbol and place, each entry's number in it, and where suffixes are from those."""
-        order = np.argsort(transform, kind="stable").astype(np.int32)
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        return order, rank, self.n - int(np.count_nonzero(transform == 0))
-
     def build(self) -> None:
-        active, place = np.arange(self.n), np.arange(self.n)
+        active, own, place = np.arange(self.n), self._symbol(np.arange(self.n), 0), np.arange(self.n)
+        # The transform's entries in order of symbol and place, how many each symbol has, and which of them
+        # are the last ones of the strings. It is carried along, as a sort would cost more than all else.
+        order = np.argsort(own, kind="stable").astype(np.int32)
+        counts = np.bincount(own, minlength=self.alphabet)
+        k = np.empty(self.n, np.int64)
+        k[order] = place
         for j in range(1, int(self.sizes.max()) + 1):
             transform, prefixes = self._read()
-            going = transform[place] != 0
-            active, place = active[going], place[going]
-            order, rank, shift = self._ranks(transform)
-            k = rank[place].astype(np.int64)
-            own = transform[place]
+            going = own != 0
+            active, own, place, k = active[going], own[going], place[going], k[going]
             before, after = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, len(order) - 1)]
             has_before = (k > 0) & (transform[before] == own)
             has_after = (k + 1 < len(order)) & (transform[after] == own)
             with_before = self._common(prefixes, before, place, has_before)
             with_after = self._common(prefixes, place, after, has_after)
-            new = k + shift
+            new = k + self.n - counts[0]
             total = len(transform) + len(new)
             old = np.ones(total, bool)
             old[new] = False
             grown, common = np.empty(total, self.kind), np.empty(total, np.uint8)
             grown[old], common[old] = transform, prefixes
-            grown[new] = self._symbol(active, j)
+            own = self._symbol(active, j)
+            grown[new] = own
             common[new] = with_before
             inner = new + 1 < total
             common[new[inner] + 1] = with_after[inner]
             self._write(grown, common)
             place = new
+            moved = np.arange(total, dtype=np.int32)[old]
+            order, k = self._ordered(moved.take(order, mode="clip"), counts, own, place)
+            counts += np.bincount(own, minlength=self.alphabet)
+        self.order, self.shift = order, self.n - counts[0]
+
+    @staticmethod
+    def _ordered(order: np.ndarray, counts: np.ndarray, own: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`order`, which has `counts` entries of each symbol, with new entries, and where in it those are."""
+        by_symbol = np.lexsort((place, own))
+        symbols, places = own[by_symbol], place[by_symbol].astype(np.int32)
+        ends = np.cumsum(counts)
+        at = np.empty(len(places), np.int64)
+        cuts = np.flatnonzero(np.diff(symbols, prepend=-1)).tolist()
+        for a, b in zip(cuts, [*cuts[1:], len(symbols)]):
+            end = ends[symbols[a]]
+            begin = end - counts[symbols[a]]
+            at[a:b] = begin + order[begin:end].searchsorted(places[a:b])
+        at += np.arange(len(at))
+        grown, old = np.empty(len(order) + len(at), np.int32), np.ones(len(order) + len(at), bool)
+        old[at] = False
+        grown[old], grown[at] = order, places
+        found = np.empty(len(at), np.int64)
+        found[by_symbol] = at
+        return grown, found
 
     def _common(self, prefixes: np.ndarray, low: np.ndarray, high: np.ndarray, both: np.ndarray) -> np.ndarray:
         """One more than the least common prefix between two places, 0 where there is only one; no more than `most`."""
@@ -235,12 +260,13 @@ class Collection:
         transform, prefixes = self._read()
         shared = prefixes >= self.most
         shared[:-1] |= prefixes[1:] >= self.most
-        _, rank, shift = self._ranks(transform)
+        rank = np.empty(len(transform), np.int64)
+        rank[self.order] = np.arange(len(transform))
         strings, place = np.arange(self.n), np.arange(self.n)
         hits = []
         for j in range(1, int(self.sizes.max()) + 1):
             going = transform[place] != 0
-            strings, place = strings[going], rank[place[going]] + shift
+            strings, place = strings[going], rank[place[going]] + self.shift
             if j >= self.most:
                 hit = strings[shared[place]]
                 hits.append(np.stack([hit, self.sizes[hit] - j], 1))
@@ -259,17 +285,29 @@ def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["f", "row", "low", "high"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Iterator[pa.RecordBatch]:
+def _with_symbols(texts: Sequence[bytes], places: Sequence[int], gram: int) -> list[np.ndarray]:
+    """Each text as numbers, the gram at its place as one above those of bytes; equal grams have equal ones."""
+    symbols: dict[bytes, int] = {}
+    found = []
+    for text, at in zip(texts, places):
+        symbol = 256 + symbols.setdefault(text[at : at + gram], len(symbols))
+        codes = np.frombuffer(text, np.uint8)
+        found.append(np.concatenate((codes[:at], np.array([symbol], np.int32), codes[at + gram :])))
+    return found
+
+
+def _compare(batches: Iterator[pa.RecordBatch], length: int, gram: int, most: int) -> Iterator[pa.RecordBatch]:
     """Repeated windows of the only segments of their content, from rows in order of their anchor."""
     held: list[tuple] = []
 
     def found() -> pa.RecordBatch:
         with tempfile.TemporaryDirectory() as folder:
-            collection = Collection([row[5] for row in held], folder, length)
+            *_, places, texts = zip(*held)
+            collection = Collection(_with_symbols(texts, places, gram), folder, length - gram + 1)
             starts = collection.repeated()
             collection.close()
         rows = []
-        for (_, copies, f, row, first, _), hits in zip(held, starts):
+        for (_, copies, f, row, first, _, _), hits in zip(held, starts):
             if copies == 1 and len(hits):
                 breaks = np.flatnonzero(np.diff(hits) > 1)
                 lows, highs = hits[np.r_[0, breaks + 1]], hits[np.r_[breaks, len(hits) - 1]]
@@ -277,7 +315,7 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Itera
         return _ranges(rows)
 
     for batch in batches:
-        for entry in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        for entry in zip(*(batch.column(i).to_pylist() for i in range(7))):
             if len(held) >= most and held[-1][0] != entry[0]:
                 yield found()
                 held = []
@@ -288,8 +326,8 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, most: int) -> Itera
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of wanted segments; of those of a split anchor, a row for each window, named by its hash."""
-    names = ["anchor", "copies", "f", "row", "first", "w1", "w2", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["anchor", "copies", "f", "row", "first", "at", "w1", "w2", "bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
         rows = []
         for f, row, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -299,9 +337,10 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                     for start in range(first, first + n):
                         digest = xxhash.xxh3_128_digest(text[start : start + length])
                         w1, w2 = np.frombuffer(digest, np.int64).tolist()
-                        rows.append((None, copies, f, row, start, w1, w2, None))
+                        rows.append((None, copies, f, row, start, None, w1, w2, None))
                 else:
-                    rows.append((anchor, copies, f, row, first, None, None, text[first : first + n + length - 1]))
+                    part = text[first : first + n + length - 1]
+                    rows.append((anchor, copies, f, row, first, one["at"], None, None, part))
             if len(rows) > 1 << 14:
                 yield _batch(rows, kinds, names)
                 rows = []
@@ -352,7 +391,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
 
     differ = again.where("not same").drop("same")
     content = ["anchor", "c1", "c2"]
-    one = F.min(F.struct("f", "row", "first", "n")).alias("one")
+    one = F.min(F.struct("f", "row", "first", "n", "at")).alias("one")
     sides = [F.min(side).alias(side) for side in ("ahead", "behind")]
     contents = store(differ.groupBy(*content).agg(F.count("*").alias("copies"), one, *sides), "contents")
     copied = differ.join(contents.where("copies > 1").select(content), content, "left_semi")
@@ -363,15 +402,15 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     near = store(near[0].unionByName(near[1]).distinct(), "agreeing")
     per_anchor = near.groupBy("anchor").agg((F.count("*") > most).alias("split"))
     wanted = near.join(per_anchor, "anchor").select("one.*", "anchor", "copies", "split")
-    wanted = wanted.groupBy("f", "row").agg(F.collect_list(F.struct("first", "n", "anchor", "copies", "split")).alias("wanted"))
+    wanted = wanted.groupBy("f", "row").agg(F.collect_list(F.struct("first", "n", "at", "anchor", "copies", "split")).alias("wanted"))
     wanted = store(wanted, "wanted")
-    cut_schema = f"anchor bigint, copies bigint, {_PLACE}, first int, w1 bigint, w2 bigint, bytes binary"
-    cut = texts.join(small_side(wanted, 100 + 48 * F.size("wanted")), ["f", "row"]).select("f", "row", "text", "wanted")
+    cut_schema = f"anchor bigint, copies bigint, {_PLACE}, first int, at int, w1 bigint, w2 bigint, bytes binary"
+    cut = texts.join(small_side(wanted, 100 + 56 * F.size("wanted")), ["f", "row"]).select("f", "row", "text", "wanted")
     cut = store(cut.mapInArrow(lambda b: _cut(b, length), cut_schema), "cut")
 
-    strings = cut.where(F.col("anchor").isNotNull()).select("anchor", "copies", "f", "row", "first", "bytes")
+    strings = cut.where(F.col("anchor").isNotNull()).select("anchor", "copies", "f", "row", "first", "at", "bytes")
     strings = strings.repartition("anchor").sortWithinPartitions("anchor")
-    compared = strings.mapInArrow(lambda b: _compare(b, length, most), _RANGE)
+    compared = strings.mapInArrow(lambda b: _compare(b, length, gram, most), _RANGE)
 
     windows = cut.where(F.col("anchor").isNull())
     often = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("times")).where("times > 1")
