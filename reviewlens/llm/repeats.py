@@ -386,7 +386,9 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
         F.count("*").alias("times"),
         ((F.min("c1") == F.max("c1")) & (F.min("c2") == F.max("c2"))).alias("same"),
     )
-    again = store(found.join(anchors.where("times > 1").drop("times"), "anchor"), "repeated-anchors")
+    # Stored, as a join splits a hot key only if what is joined comes from a shuffle and nothing else.
+    anchors = store(anchors.where("times > 1").drop("times"), "anchors")
+    again = store(found.join(anchors, "anchor"), "repeated-anchors")
     whole = again.where("same").select("f", "row", "first", "n")
 
     differ = again.where("not same").drop("same")
@@ -400,8 +402,10 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
 
     near = [_agreeing(contents, side) for side in ("ahead", "behind")]
     near = store(near[0].unionByName(near[1]).distinct(), "agreeing")
-    per_anchor = near.groupBy("anchor").agg((F.count("*") > most).alias("split"))
-    wanted = near.join(per_anchor, "anchor").select("one.*", "anchor", "copies", "split")
+    crowded = near.groupBy("anchor").agg(F.count("*").alias("contents")).where(F.col("contents") > most)
+    crowded = store(crowded.select("anchor", F.lit(True).alias("split")), "crowded")
+    split = F.coalesce("split", F.lit(False)).alias("split")
+    wanted = near.join(small_side(crowded, F.lit(100)), "anchor", "left").select("one.*", "anchor", "copies", split)
     wanted = wanted.groupBy("f", "row").agg(F.collect_list(F.struct("first", "n", "at", "anchor", "copies", "split")).alias("wanted"))
     wanted = store(wanted, "wanted")
     cut_schema = f"anchor bigint, copies bigint, {_PLACE}, first int, at int, w1 bigint, w2 bigint, bytes binary"
@@ -422,7 +426,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
 def _agreeing(contents: DataFrame, side: str) -> DataFrame:
     """The segments that agree with another of their anchor on the half window on one side of it."""
     shared = contents.where(F.col(side).isNotNull()).groupBy("anchor", side).agg(F.count("*").alias("others"))
-    found = contents.join(shared.where("others > 1"), ["anchor", side])
+    found = contents.join(store(shared.where("others > 1").drop("others"), side), ["anchor", side])
     return found.select("anchor", "c1", "c2", "copies", "one")
 
 
