@@ -228,22 +228,40 @@ def test_parsing_does_not_depend_on_offset():
     assert parsing.likeness(a, b) > 0.9 and parsing.likeness(a, other) < 0.1 and parsing.likeness(a, a) == 1
 
 
-@pytest.mark.parametrize("most", [1024, 2])
-def test_repeats(docs, most):
-    texts = [(t or "").encode() for _, t, *_ in rows()]
+def without_repeats(texts):
+    """Of each text the number of spans that strings of 20 bytes repeat, and what is left."""
     counts = Counter(t[s : s + 20] for t in texts for s in range(len(t) - 19))
-    expected = []
-    for (i, *_), t in zip(rows(), texts):
+    left = []
+    for t in texts:
         gone = np.zeros(len(t) + 2, int)
         for s in range(len(t) - 19):
             if counts[t[s : s + 20]] > 1:
                 gone[s + 1 : s + 21] = 1
-        kept = bytes(b for b, g in zip(t, gone[1:-1]) if not g)
-        expected.append((i, int((np.diff(gone) == 1).sum()), kept))
+        left.append((int((np.diff(gone) == 1).sum()), bytes(b for b, g in zip(t, gone[1:-1]) if not g)))
+    return left
+
+
+@pytest.mark.parametrize("most", [1024, 2])
+def test_repeats(docs, most):
+    expected = without_repeats([(t or "").encode() for _, t, *_ in rows()])
+    expected = [(i, *left) for (i, *_), left in zip(rows(), expected)]
     found = repeats.remove_repeats(docs, length=20, gram=7, most=most).collect()
     assert sorted(map(str, ((r["doc_id"], len(r["spans"] or ()), bytes(r["kept"])) for r in found))) == sorted(map(str, expected))
 
 
+@pytest.mark.parametrize("most", [1024, 2])
+def test_repeats_of_periodic_texts(spark, most):
+    """Texts in which an anchor's bytes stand many times, and lines that many texts share among others."""
+    r = random.Random(9)
+    texts = ["ab" * 60, "abc" * 40, "a" * 90, "a" * 19, "abab" * 7 + "x" + "ab" * 11, "é" * 30]
+    lines = ["the same line in all", "another one, a little longer than that", "short"]
+    texts += [" ".join(r.choice([*lines, sentence(r, 3)]) for _ in range(6)) for _ in range(60)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = repeats.remove_repeats(table, length=20, gram=7, most=most).collect()
+    found = [(len(r["spans"] or ()), bytes(r["kept"])) for r in sorted(found, key=lambda r: r["doc_id"])]
+    assert found == without_repeats([t.encode() for t in texts])
+
+
 def test_collection_of_all_bytes():
     r = random.Random(6)
     strings = [bytes(r.choice(bytes(range(256)) if n % 2 else b"ab") for _ in range(r.randint(1, 60))) for n in range(40)]
