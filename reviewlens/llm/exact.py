@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm.places import located, small_side
+from reviewlens.llm.places import field, located, small_side
 from reviewlens.sources.files import new_folder, store
 
 # State on disk. A store is a partition of the state, so there are many small ones, which should not
@@ -35,13 +35,13 @@ def sha256(text: Column) -> Column:
 
 
 def _body(text: str) -> Column:
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+    return F.coalesce(field(text).cast("string"), F.lit(""))
 
 
 def arrivals(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """One row per document: identifier, digest, size and place of its content."""
+    """One row per document of a `located` frame: identifier, digest, size and place of its content."""
     return docs.select(
-        F.col(key).alias("doc_id"),
+        field(key).alias("doc_id"),
         digest(_body(text)).alias("digest"),
         F.octet_length(_body(text)).cast("bigint").alias("n_bytes"),
         F.col("__at").alias("at"),
@@ -99,7 +99,7 @@ def decide(
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """For each row of `docs` (with `__at`, see `located`): doc_id, digest, n_bytes, at, the identifier
+    """For each row of `docs` (a `located` frame): doc_id, digest, n_bytes, at, the identifier
     keep_id and place keep_at of the row that stays, and group_size."""
     spark = docs.sparkSession
     folder, checkpoint = new_folder(spark, "arrivals"), new_folder(spark, "state")
@@ -153,4 +153,4 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     places = located(docs)
     decided = decide(places, key, text, **options)
     dropped = store(decided.where(F.col("at") != F.col("keep_at")).select(F.col("at").alias("__at")), "dropped")
-    return places.join(small_side(dropped), "__at", "left_anti").select(*docs.columns)
+    return places.join(small_side(dropped), "__at", "left_anti").select("__row.*")

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewlens.llm.places import located, small_side
+from reviewlens.llm.places import field, located, small_side
 from reviewlens.sources.files import store
 
 # What a word is.
@@ -114,10 +114,10 @@ def _taken(
 ) -> DataFrame:
     sized = docs.select(
         F.col("__at").alias("at"),
-        F.col(key).alias("doc_id"),
-        F.col(source).alias("source"),
-        word_count(F.col(text)).alias("size"),
-        F.coalesce(F.pmod(F.col(key), F.lit(PARTS)), F.lit(-1)).cast("int").alias("part"),
+        field(key).alias("doc_id"),
+        field(source).alias("source"),
+        word_count(field(text)).alias("size"),
+        F.coalesce(F.pmod(field(key), F.lit(PARTS)), F.lit(-1)).cast("int").alias("part"),
     )
     sizes = store(sized, "sizes")
     targets = store(source_targets(sizes, weights, share, most), "targets")
@@ -143,4 +143,4 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     emitted = _taken(places, key, text, source, **options).where("copies > 0")
     emitted = store(emitted.select(F.col("at").alias("__at"), F.col("copies").alias("__copies")), "copies")
     chosen = places.join(small_side(emitted), "__at")
-    return chosen.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return chosen.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")

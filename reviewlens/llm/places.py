@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +14,43 @@ MAX_BROADCAST_BYTES = 64 << 20
 ROW_BYTES = 250
 
 
+def _one_row_per_place(docs: DataFrame) -> bool:
+    """True if `docs` is a file table under nothing but projections and filters that always choose alike:
+    what explodes, joins, unions or samples may show a stored row several times, or another time not."""
+    node = docs._jdf.queryExecution().analyzed()
+    if not node.deterministic():
+        return False
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.nodeName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return node.relation().location().rootPaths().size() == 1  # one path named twice is read twice
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """`docs` with `__at`, the file and row its content is stored at.
+    """`docs` as two columns: `__at`, the file and row its content is stored at, and `__row`, all its own
+    columns in a struct, so that no name of theirs can clash.
 
-    `docs` is a stored table read as it is, or else it is stored first.
+    `docs` is a stored table read as it is, perhaps filtered or projected, or else it is stored first.
     """
-    try:
-        place = docs.metadataColumn("_metadata")
-        return docs.withColumn("__at", F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")))
-    except AnalysisException:
-        return located(store(docs, "documents"))
+    if not _one_row_per_place(docs):
+        docs = store(docs, "documents")
+    place = docs.metadataColumn("_metadata")
+    at = F.struct(place["file_path"].alias("file"), place["row_index"].alias("row"))
+    return docs.select(at.alias("__at"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+
+
+def field(name: str) -> Column:
+    """A column of a `located` frame's rows."""
+    return F.col("__row").getField(name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small_side(rows: DataFrame, row_bytes: Column | None = None) -> DataFrame:

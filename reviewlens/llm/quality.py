@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.llm.places import free_name
+
 # Labelled documents of each class that the fit takes.
 SAMPLE_PER_CLASS = 20_000
 
@@ -177,11 +179,12 @@ def score(docs: DataFrame, model: Discriminant | float, text: str = "text", name
                 scores = model.score(np.array([features(t) for t in texts]).reshape(-1, FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], name])
 
-    others = [F.col(c) for c in docs.columns if c != name]
+    others, held = [F.col(c) for c in docs.columns if c != name], free_name(docs, "__text")
     schema = T.StructType([*[docs.schema[c] for c in docs.columns if c != name], T.StructField(name, T.DoubleType())])
-    return docs.select(*others, _text(docs, text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*others, _text(docs, text).alias(held)).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, model: Discriminant | float, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of `docs` that score at least `least`."""
-    return score(docs, model, text, "__score").where(F.col("__score") >= least).select(*docs.columns)
+    name = free_name(docs, "__score")
+    return score(docs, model, text, name).where(F.col(name) >= least).select(*docs.columns)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.places import located, small_side
+from reviewlens.llm.places import field, located, small_side
 from reviewlens.sources.files import store
 
 LENGTH = 200
@@ -435,10 +435,10 @@ def remove_repeats(
 ) -> DataFrame:
     """For each row of `docs`: doc_id, text (its bytes), spans (start and end of each maximal run of bytes
     that repeated windows cover; null for none) and kept, the bytes that are left."""
-    places = located(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__body")))
-    body = F.coalesce(F.col("__body").cast("string"), F.lit("")).cast("binary").alias("text")
+    places = located(docs)
+    body = F.coalesce(field(text).cast("string"), F.lit("")).cast("binary").alias("text")
     # A file is named by a hash here; a corpus has far too few files for two to share one.
-    placed = places.select("doc_id", F.xxhash64("__at.file").alias("f"), F.col("__at.row").alias("row"), body)
+    placed = places.select(field(key).alias("doc_id"), F.xxhash64("__at.file").alias("f"), F.col("__at.row").alias("row"), body)
     ranges = repeated_ranges(placed.select("f", "row", "text"), length, gram, most)
     gathered = ranges.groupBy("f", "row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     spans = gathered.mapInArrow(

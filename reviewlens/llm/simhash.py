@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.llm.components import components
-from reviewlens.llm.places import located, small_side
+from reviewlens.llm.places import field, located, small_side
 from reviewlens.sources.files import store
 
 SHINGLE_WORDS = 4
@@ -182,10 +182,10 @@ def drop_near_duplicates(
     """The rows of `docs` that stay, one of each component: the one with the smallest identifier, a null
     one last, and of those the one stored first."""
     places = located(docs)
-    body = places.select(F.col("__at").alias("at"), F.col(key).alias("doc_id"), F.col(text).alias("__body"))
+    body = places.select(F.col("__at").alias("at"), field(key).alias("doc_id"), field(text).alias("__body"))
     rows = store(fingerprints(body, "__body", width), "prints")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("least")
     placed = _components_of(rows, radius, least)
     dropped = placed.where(F.col("at") != F.col("least.at")).select(F.col("at").alias("__at"))
     dropped = store(dropped, "dropped")
-    return places.join(small_side(dropped), "__at", "left_anti").select(*docs.columns)
+    return places.join(small_side(dropped), "__at", "left_anti").select("__row.*")
