@@ -7,7 +7,22 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm import bpe, exact, language, mixing, packing, parsing, quality, repeats, simhash, urls
+from reviewlens.llm import (
+    align,
+    bpe,
+    exact,
+    language,
+    lines,
+    mixing,
+    packing,
+    parsing,
+    quality,
+    repeats,
+    simhash,
+    trie,
+    urls,
+)
+from reviewlens.sources.files import store
 
 # The rules of op8, longest names win.
 RULES = [
@@ -118,6 +133,30 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, folder))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens by two tokenizers, their groups and links. What is stored between the two
+    passes holds the digest of the groups in place of the groups."""
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    aligned = align.alignments(_documents(spark, folder), *paths)
+    groups = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    counts = ("n_a", "n_b", "n_groups", "n_links")
+    stored = store(aligned.select("doc_id", "f", "row", *counts, groups, "pairs"), "alignments")
+    return align.link_statistics(stored).select("doc_id", *counts, "n_best", "count_sum", "groups_sha256")
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document keeps without the lines that others hold too."""
+    kept = lines.drop_repeated_lines(_documents(spark, folder))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return trie.prefix_trie(_table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -129,6 +168,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_repeats": op9_repeats,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_alignment": op11_alignment,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 SQL = {
@@ -195,4 +237,64 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(body) AS text_sha256
         FROM texts WINDOW same AS (PARTITION BY body)""",
+    "op12_line_dedup": r"""
+        WITH numbered AS (
+          SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                 generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+          FROM documents),
+        keyed AS (
+          SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+          FROM numbered),
+        common AS (
+          SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+          GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        judged AS (
+          SELECT doc_id, line, pos, coalesce(doc_id <> keeper, false) AS gone FROM keyed LEFT JOIN common USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id""",
+    "op13_prefix_trie": r"""
+        WITH own AS (
+          SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+          FROM conversations WHERE conv_id IS NOT NULL),
+        bits AS (
+          SELECT conv_id, list_reduce(
+                   list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                                                                   lambda c: [256 + ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda x, y: CASE WHEN y >= 0 THEN xor(x, (y - 256)::BIGINT)
+                                     WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END) AS state
+          FROM (SELECT DISTINCT conv_id FROM own)),
+        lent AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(state, 4294967295::BIGINT) % 4 AS h FROM bits),
+        joined AS (
+          SELECT l.conv_id, 0 AS part, o.pos, o.role, o.text FROM lent l JOIN own o ON o.conv_id = l.base AND o.pos < l.h
+          UNION ALL
+          SELECT l.conv_id, 1, o.pos, o.role, o.text FROM lent l JOIN own o ON o.conv_id = l.conv_id AND o.pos >= l.h),
+        whole AS (
+          SELECT conv_id, list(role || chr(0) || text ORDER BY part, pos) AS turns FROM joined GROUP BY conv_id),
+        rebuilt AS (SELECT conv_id, coalesce(turns, []) AS turns FROM lent LEFT JOIN whole USING (conv_id)),
+        members AS (
+          SELECT conv_id, len(turns) AS size, unnest(range(0, len(turns) + 1)) AS depth,
+                 unnest(list_transform(range(0, len(turns) + 1), lambda d: list_slice(turns, 1, d))) AS path
+          FROM rebuilt),
+        nodes AS (
+          SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '')) AS ends_sha256
+          FROM members GROUP BY path),
+        parents AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+        own_totals AS (
+          SELECT n.*, coalesce(n_children, 0) AS n_children,
+                 CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(
+                   substr(path[-1], instr(path[-1], chr(0)) + 1), '[^\x20\x09-\x0D]+')) END AS saved
+          FROM nodes n LEFT JOIN parents USING (path)),
+        above AS (
+          SELECT unnest(list_transform(range(0, depth + 1), lambda d: list_slice(path, 1, d))) AS path,
+                 CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, saved
+          FROM own_totals),
+        totals AS (SELECT path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY path)
+        SELECT o.conv_id, CAST(o.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children,
+               CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+        FROM own_totals o JOIN totals t ON o.path = t.path
+        LEFT JOIN nodes p ON o.depth > 0 AND p.path = list_slice(o.path, 1, o.depth - 1)""",
 }
