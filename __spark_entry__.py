@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import sys
+import warnings
 from collections.abc import Callable
 from pathlib import Path
 
@@ -18,11 +19,12 @@ from reviewlens.functions.text import (  # noqa: E402
     explode_words,
     normalise_category,
 )
-from reviewlens.operators import ratings, sentiment, words  # noqa: E402
+from reviewlens.functions import sql  # noqa: E402
+from reviewlens.operators import dictionary, frequent, ratings, sentiment, words  # noqa: E402
 from reviewlens.plans import tables  # noqa: E402
-from reviewlens.plans.session import name_folder  # noqa: E402
-from reviewlens.schema import Counted  # noqa: E402
-from reviewlens.sources import files  # noqa: E402
+from reviewlens.plans.session import name_folder, ship_package  # noqa: E402
+from reviewlens.schema import REVIEW_SCHEMA, Counted  # noqa: E402
+from reviewlens.sources import cubes, files, publish  # noqa: E402
 
 # The parameter of the word reports here and in the SQL below.
 STOP_WORDS = ["and", "by", "in", "is", "of", "on", "that", "the", "to", "with", "la", "le", "und", "der", "que", "el"]
@@ -31,18 +33,20 @@ STOP_WORDS = ["and", "by", "in", "is", "of", "on", "that", "the", "to", "with",
 try:
     import corpus_pipeline
     from reviewlens.llm import queries as llm
-except ModuleNotFoundError as absent:
+except ImportError as absent:
+    # The reports stand by themselves, whatever the corpus operators lack.
     if absent.name not in ("corpus_pipeline", "reviewlens.llm"):
-        raise
+        warnings.warn(f"no corpus queries: {absent}", stacklevel=1)
     llm = None
 
 
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """`query` in a session with a folder for intermediates."""
+    """`query` in a session with a folder for intermediates, whose Python workers have the package."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, folder: str) -> DataFrame:
         name_folder(spark)
+        ship_package(spark)
         return query(spark, folder)
 
     return run
@@ -113,6 +117,117 @@ def _category_from_file(reviews: DataFrame) -> DataFrame:
     return ratings.category_counts(Counted(parsed.where(F.col("product_category").isNotNull())))
 
 
+def _category_from_read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts per category of reviews written as named files and read back, of one marketplace of two."""
+    path = files.new_folder(spark, "named")
+    files.write_named_tsv(tables.as_reviews(tables.votes_table(spark, folder)), path)
+    return ratings.category_counts(files.read_tsv(spark, path, category_from_file=True))
+
+
+def _tsv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of files some of which have a field too many or a rating in words: reviews and bad lines as they
+    were set apart, and as they were counted on the way."""
+    votes = tables.as_reviews(tables.votes_table(spark, folder))
+    customer = F.col("customer_id").cast("bigint")
+    fields = {f.name: F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in REVIEW_SCHEMA}
+    fields["star_rating"] = F.when(customer % 89 == 1, "five").otherwise(fields["star_rating"])
+    line = F.concat_ws("\t", *fields.values())
+    line = F.when(customer % 97 == 0, F.concat(line, F.lit("\tand more"))).otherwise(line)
+    path = files.new_folder(spark, "lines")
+    votes.select(line.alias("value")).write.option("compression", "gzip").text(path)
+    found = files.split_tsv(spark, path, files.new_folder(spark, "reviews"), files.new_folder(spark, "bad"))
+    counted = spark.createDataFrame([("counted", "reviews", found.n_reviews), ("counted", "bad", found.n_bad)], "kind string, slice string, n long")
+    too_long = F.when(F.col("line").endswith("\tand more"), "fields").otherwise("rating")
+    return files.union_parts(
+        [
+            found.reviews.groupBy(F.lit("reviews").alias("kind"), F.col("product_category").alias("slice")).agg(F.count("*").alias("n")),
+            found.bad.groupBy(F.lit("bad").alias("kind"), too_long.alias("slice")).agg(F.count("*").alias("n")),
+            counted,
+        ]
+    )
+
+
+def _cube_by_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The cube of three parts, one of which was there with other reviews before and one of which went."""
+    votes = tables.votes_table(spark, folder)
+    third = F.col("customer_id").cast("bigint") % 3
+    path = files.new_folder(spark, "cubes")
+    cubes.put_part(votes.where(third != 1), path, "0")
+    cubes.put_part(votes.where(third == 0), path, "gone")
+    for part in range(3):
+        cubes.put_part(votes.where(third == part), path, str(part))
+    cubes.put_part(votes.where(F.lit(False)), path, "gone")
+    cube = ratings.rating_cube(cubes.read_parts(spark, path))
+    return cube.withColumn("helpful_share", F.round("helpful_share", 6))
+
+
+def _report_rerun(spark: SparkSession, folder: str) -> DataFrame:
+    """Two reports of a run that fails between them and is started again."""
+    votes = tables.votes_table(spark, folder)
+    path = files.new_folder(spark, "reports")
+    fails = iter([True])
+
+    def histogram() -> DataFrame:
+        if next(fails, False):
+            raise InterruptedError
+        return ratings.rating_histogram(votes)
+
+    reports = {"category_counts": lambda: ratings.category_counts(votes), "rating_histogram": histogram}
+    try:
+        publish.publish(spark, path, "run", reports)
+    except InterruptedError:
+        publish.publish(spark, path, "run", reports)
+    counts, stars = (spark.read.parquet(f"{path}/{name}") for name in publish.manifest(spark, path)["reports"])
+    slices = (F.col("product_category"), F.concat_ws("/", "product_category", "star_rating"))
+    return files.union_parts(df.select(s.alias("slice"), "n_reviews") for df, s in zip((counts, stars), slices))
+
+
+def _coded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The texts by number, and their dictionary."""
+    texts = tables.spread_text(spark, folder)
+    listed = files.store(dictionary.word_dictionary(words.word_counts(texts, by=["star_rating"])), "dictionary")
+    return files.store(dictionary.code_reviews(texts, listed), "coded"), listed
+
+
+def _top_words_by_number(spark: SparkSession, folder: str) -> DataFrame:
+    coded, listed = _coded(spark, folder)
+    return dictionary.coded_top_words(dictionary.coded_word_counts(coded), listed, stop_words=STOP_WORDS)
+
+
+def _word_weights_by_number(spark: SparkSession, folder: str) -> DataFrame:
+    coded, listed = _coded(spark, folder)
+    weights = dictionary.spelt(dictionary.coded_weights(coded), listed)
+    return weights.select("word", F.round("avg_rating", 6).alias("avg_rating"), "n_words")
+
+
+def _predict_rating_by_number(spark: SparkSession, folder: str) -> DataFrame:
+    coded, _ = _coded(spark, folder)
+    predicted = dictionary.coded_predictions(coded, files.store(dictionary.coded_weights(coded), "weights"))
+    return predicted.withColumn("predicted_rating", F.round("predicted_rating", 6))
+
+
+def _sql_top_words(spark: SparkSession, folder: str) -> DataFrame:
+    """`top_words` in SQL, with the functions of this package and its parameters."""
+    sql.register(spark)
+    tables.spread_text(spark, folder).createOrReplaceTempView("texts")
+    return spark.sql(
+        """
+        WITH split AS (
+          SELECT product_category, star_rating, review_words(review_body) AS words
+          FROM texts WHERE star_rating BETWEEN 1 AND 5),
+        exploded AS (SELECT product_category, star_rating, explode(words) AS word FROM split),
+        counted AS (
+          SELECT product_category, star_rating, word, count(*) AS n_words FROM exploded
+          WHERE is_telling_word(word) AND NOT array_contains(:stop_words, word)
+          GROUP BY product_category, star_rating, word),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY product_category, star_rating ORDER BY n_words DESC, word) AS rank
+          FROM counted)
+        SELECT product_category, star_rating, rank, word, n_words FROM ranked WHERE rank <= :k""",
+        args={"k": 10, "stop_words": STOP_WORDS},
+    )
+
+
 def _union_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Reviews and words per category over three tables."""
     parts = [table(spark, folder) for table in (tables.conversation_table, tables.page_table, tables.text_table)]
@@ -187,7 +302,9 @@ def _word_weights(reviews: DataFrame, **options) -> DataFrame:
 
 
 def _predict_rating(reviews: DataFrame, **options) -> DataFrame:
-    weights = files.store(sentiment.word_weights(reviews), "weights")
+    weights = sentiment.word_weights(reviews)
+    by_parts = options.get("max_broadcast_bytes") == 0
+    weights = sentiment.store_vocabulary(weights) if by_parts else files.store(weights, "weights")
     predicted = sentiment.predict_ratings(reviews, weights, **options)
     return predicted.withColumn("predicted_rating", F.round("predicted_rating", 6))
 
@@ -249,6 +366,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "category_from_file": _votes(_category_from_file),
         "tsv_source": _tsv_source,
         "parquet_source": _parquet_source,
+        "category_from_read_files": _category_from_read_files,
+        "top_words_by_buckets": _texts(frequent.top_words, stop_words=STOP_WORDS),
+        "top_words_by_number": _top_words_by_number,
+        "word_weights_by_number": _word_weights_by_number,
+        "predict_rating_by_number": _predict_rating_by_number,
+        "tsv_quarantine": _tsv_quarantine,
+        "cube_by_parts": _cube_by_parts,
+        "report_rerun": _report_rerun,
+        "sql_top_words": _sql_top_words,
     }
     if llm is not None:
         found |= {**llm.QUERIES, "pipeline": corpus_pipeline.run}
@@ -331,6 +457,21 @@ gaps AS (SELECT product_category, abs(mean_verified - mean_unverified) AS gap FR
 _TOP_WORDS = _ranked_words("product_category, star_rating", 10)
 _TOP_WORDS_OVERALL = _ranked_words("star_rating", 10)
 
+_CUBE = f"""WITH {_VOTES}
+SELECT marketplace, product_category, star_rating, verified_purchase, vine,
+       count(*) AS n_reviews, count(*) FILTER (WHERE total_votes <> 0) AS n_voted,
+       round(sum(helpful_votes / nullif(total_votes, 0)), 6) AS helpful_share,
+       CAST(sum(helpful_votes) AS BIGINT) AS helpful_votes,
+       CAST(sum(total_votes) AS BIGINT) AS total_votes
+FROM votes GROUP BY marketplace, product_category, star_rating, verified_purchase, vine"""
+
+_CATEGORY_FROM_FILE = f"""WITH {_VOTES}
+SELECT replace(product_category, '_', ' ') AS product_category, count(*) AS n_reviews
+FROM votes WHERE marketplace = 'US' GROUP BY 1"""
+
+_WORD_WEIGHTS = f"""WITH {_exploded()}, {_weights()}
+SELECT word, round(avg_rating, 6) AS avg_rating, n_words FROM weights"""
+
 _PREDICTED = f"""WITH {_exploded()}, {_weights()},
 scored AS (
   SELECT review_id, avg(avg_rating) AS predicted FROM exploded JOIN weights USING (word) GROUP BY review_id)
@@ -349,13 +490,7 @@ def oracle_sql() -> dict[str, str]:
         "category_summary": f"""WITH {_VOTES}
             SELECT product_category, count(*) AS n_reviews, {_MEANS}, {_N_BY_STAR}
             FROM votes GROUP BY product_category""",
-        "rating_cube": f"""WITH {_VOTES}
-            SELECT marketplace, product_category, star_rating, verified_purchase, vine,
-                   count(*) AS n_reviews, count(*) FILTER (WHERE total_votes <> 0) AS n_voted,
-                   round(sum(helpful_votes / nullif(total_votes, 0)), 6) AS helpful_share,
-                   CAST(sum(helpful_votes) AS BIGINT) AS helpful_votes,
-                   CAST(sum(total_votes) AS BIGINT) AS total_votes
-            FROM votes GROUP BY marketplace, product_category, star_rating, verified_purchase, vine""",
+        "rating_cube": _CUBE,
         "rating_histogram": f"""WITH {_VOTES}
             SELECT product_category, star_rating, count(*) AS n_reviews FROM votes
             GROUP BY product_category, star_rating""",
@@ -427,8 +562,7 @@ def oracle_sql() -> dict[str, str]:
             3,
             exploded=f"{_VOTES}, {_exploded(_HEADLINES, 'review_headline')}",
         ),
-        "word_weights": f"""WITH {_exploded()}, {_weights()}
-            SELECT word, round(avg_rating, 6) AS avg_rating, n_words FROM weights""",
+        "word_weights": _WORD_WEIGHTS,
         "word_weights_filtered": f"""WITH {_exploded()}, {_weights(_TELLING)}
             SELECT word, round(avg_rating, 6) AS avg_rating, n_words FROM weights""",
         "word_total": f"""WITH {_exploded()}
@@ -468,9 +602,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT trim(regexp_replace(product_category, '[_& ]+', ' ', 'g')) AS product_category,
                    count(*) AS n_reviews
             FROM votes GROUP BY 1""",
-        "category_from_file": f"""WITH {_VOTES}
-            SELECT replace(product_category, '_', ' ') AS product_category, count(*) AS n_reviews
-            FROM votes WHERE marketplace = 'US' GROUP BY 1""",
+        "category_from_file": _CATEGORY_FROM_FILE,
+        "category_from_read_files": _CATEGORY_FROM_FILE,
+        "top_words_by_buckets": _TOP_WORDS,
+        "top_words_by_number": _TOP_WORDS,
+        "sql_top_words": _TOP_WORDS,
+        "word_weights_by_number": _WORD_WEIGHTS,
+        "predict_rating_by_number": _PREDICTED,
+        "cube_by_parts": _CUBE,
+        "report_rerun": f"""WITH {_VOTES}
+            SELECT product_category AS slice, count(*) AS n_reviews FROM votes GROUP BY 1
+            UNION ALL
+            SELECT product_category || '/' || star_rating, count(*) FROM votes GROUP BY 1""",
+        "tsv_quarantine": f"""WITH {_VOTES},
+            lines AS (
+              SELECT *, CASE WHEN CAST(customer_id AS BIGINT) % 97 = 0 THEN 'fields'
+                             WHEN CAST(customer_id AS BIGINT) % 89 = 1 THEN 'rating' END AS fault FROM votes)
+            SELECT 'reviews' AS kind, product_category AS slice, count(*) AS n FROM lines WHERE fault IS NULL GROUP BY 2
+            UNION ALL
+            SELECT 'bad', fault, count(*) FROM lines WHERE fault IS NOT NULL GROUP BY 2
+            UNION ALL
+            SELECT 'counted', 'reviews', count(*) FROM lines WHERE fault IS NULL
+            UNION ALL
+            SELECT 'counted', 'bad', count(*) FROM lines WHERE fault IS NOT NULL""",
         "tsv_source": f"""WITH {_TEXTS}
             SELECT product_category, count(*) AS n_reviews,
                    CAST(sum(len({_words_of('review_body')})) AS BIGINT) AS n_words

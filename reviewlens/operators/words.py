@@ -8,24 +8,48 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.text import explode_words, is_telling, without_stop_words
-from reviewlens.schema import DEFAULT_HEADLINES, is_rating
+from reviewlens.schema import DEFAULT_HEADLINES, STARS, is_rating
 
-BY = ("product_category", "star_rating")
+STAR = "star_rating"
+BY = ("product_category", STAR)
 N = "n_words"
 
 
+def rated_texts(reviews: DataFrame, text: str = "review_body", by: Sequence[str] = BY) -> DataFrame:
+    """The texts of rated reviews and their group."""
+    return reviews.where(is_rating(F.col(STAR))).select(*by, text)
+
+
+def count_by_rating(rows: DataFrame, by: Sequence[str], *keys: str | Column) -> DataFrame:
+    """How many of `rows`, all rated, there are for each combination of `by` and `keys`.
+
+    The ratings of a key are counted beside each other, so a task ships a row for a key and not one for
+    each of its ratings; they are set below each other once counted.
+    """
+    others = [c for c in by if c != STAR]
+    if len(others) == len(by):
+        return rows.groupBy(*by, *keys).agg(F.count("*").alias(N))
+    counters = [F.count_if(F.col(STAR) == star).alias(f"__n_{star}") for star in STARS]
+    wide = rows.groupBy(*others, *keys).agg(*counters)
+    beside = [F.struct(F.lit(star).alias(STAR), F.col(f"__n_{star}").alias(N)) for star in STARS]
+    # Ratings that do not occur are left out here and not by a filter above, which would keep a stop list
+    # that is joined to the counts from moving ahead of them.
+    below = F.inline(F.filter(F.array(*beside), lambda counted: counted[N] > 0))
+    named = [c for c in wide.columns if not c.startswith("__n_")]
+    return wide.select(*named, below).select(*by, *[c for c in named if c not in by], N)
+
+
 def word_counts(reviews: DataFrame, text: str = "review_body", by: Sequence[str] = BY) -> DataFrame:
     """How often each word occurs in the texts of each group of rated reviews.
 
     Words are counted in the map task first, so a word of every review reaches the shuffle once per
-    task and group.
+    task and category, whatever its ratings.
     """
-    rated = reviews.where(is_rating(F.col("star_rating"))).select(*by, text)
-    return explode_words(rated, text).groupBy(*by, "word").agg(F.count("*").alias(N))
+    return count_by_rating(explode_words(rated_texts(reviews, text, by), text), by, "word")
 
 
 def telling_words(

@@ -1,0 +1,96 @@
+"""Reviews as numbers, against the same reports on words."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from reviewlens.operators import dictionary, sentiment, words
+from reviewlens.sources import files
+from reviewlens.sources.files import store
+from tests.test_sentiment import predictions_of, weights_of
+from tests.test_sentiment import random_rows as rated_rows
+from tests.test_words import COLUMNS, STOP, found, random_rows
+
+TEXTS = "review_id string, star_rating int, review_body string"
+
+
+@pytest.fixture
+def table(reviews):
+    rows = [(*row, str(i % 50) if i % 7 else None) for i, row in enumerate(random_rows())]
+    rows += [(None, 3, None, " leading space and w1 ", "x"), ("A", 2, None, "", "y"), ("A", 2, None, "never-seen-elsewhere", "z")]
+    return store(reviews(rows, COLUMNS + ", review_id string"), "reviews")
+
+
+def test_numbers_follow_frequency(table):
+    counts = words.word_counts(table)
+    rows = dictionary.word_dictionary(counts).collect()
+    assert sorted(r["word_id"] for r in rows) == list(range(len(rows)))
+    totals = {r["word"]: r["n"] for r in counts.groupBy("word").agg(F.sum("n_words").alias("n")).collect()}
+    assert {r["word"]: r["n_words"] for r in rows} == totals
+    ordered = [r["n_words"] for r in sorted(rows, key=lambda r: r["word_id"])]
+    assert ordered == sorted(ordered, reverse=True)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, -1])
+def test_reports_by_number(table, limit):
+    counts = words.word_counts(table)
+    listed = store(dictionary.word_dictionary(counts), "dictionary")
+    coded = store(dictionary.code_reviews(table, listed, max_broadcast_bytes=limit), "coded")
+    by_number = dictionary.coded_word_counts(coded)
+    assert found(dictionary.spelt(by_number, listed).select(counts.columns)) == found(counts)
+    for k in (1, 10, 500):
+        expected = found(words.rank_words(words.telling_words(counts, STOP, drop_numbers=True), k))
+        assert found(dictionary.coded_top_words(by_number, listed, k, stop_words=STOP, drop_numbers=True)) == expected
+    weights = store(dictionary.coded_weights(coded), "weights")
+    spelt = dictionary.spelt(weights, listed).select("word", "avg_rating", "n_words")
+    assert found(spelt) == found(sentiment.word_weights(table).select("word", "avg_rating", "n_words"))
+    scored = dictionary.coded_predictions(coded, weights, max_broadcast_bytes=limit)
+    expected = sentiment.predict_ratings(table, store(sentiment.word_weights(table), "weights"))
+    same = [sorted(str((r[0], r[1] and round(r[1], 9))) for r in df.collect()) for df in (scored, expected)]
+    assert same[0] == same[1] and len(same[0]) == table.count()
+
+
+def test_words_unknown_to_the_dictionary(reviews):
+    rows = rated_rows()
+    trained = reviews(rows[:150], TEXTS)
+    listed = store(dictionary.word_dictionary(words.word_counts(trained)), "dictionary")
+    others = ["review_id", "star_rating"]
+    weights = store(dictionary.coded_weights(store(dictionary.code_reviews(trained, listed, others=others), "coded")), "weights")
+    scored = dictionary.coded_predictions(dictionary.code_reviews(reviews(rows, TEXTS), listed, others=others), weights)
+    expected = predictions_of(rows, weights_of(rows[:150]))
+    assert {r["review_id"]: r["predicted_rating"] for r in scored.collect()} == pytest.approx(expected)
+
+
+def test_numbers_take_half_the_room(table):
+    """What is broadcast to score, in bytes; what is shuffled to count has its counters, so that less is saved."""
+
+    def bytes_of(df, kind):
+        df.collect()
+        from tests.test_plans import nodes_of
+
+        return sum(
+            node.metrics().apply("dataSize").value()
+            for node in nodes_of(df._jdf.queryExecution().executedPlan())
+            if node.getClass().getSimpleName() == kind
+        )
+
+    long_words = F.concat(F.lit("longish"), F.col("review_body"))
+    table = table.withColumn("review_body", F.regexp_replace(long_words, " ", " word"))
+    many = F.concat_ws(" ", *[F.concat(F.lit(f"word{i}x"), F.col("row")) for i in range(60)])
+    table = store(table.withColumn("row", F.monotonically_increasing_id()).withColumn("review_body", F.concat_ws(" ", "review_body", many)), "wide")
+    counts = words.word_counts(table)
+    listed = store(dictionary.word_dictionary(counts), "dictionary")
+    coded = store(dictionary.code_reviews(table, listed), "coded")
+    by_number = dictionary.coded_word_counts(coded)
+    assert 1.25 * bytes_of(by_number, "ShuffleExchangeExec") < bytes_of(counts, "ShuffleExchangeExec")
+    weights = store(dictionary.coded_weights(coded), "weights")
+    words_sent = bytes_of(sentiment.predict_ratings(table, store(sentiment.word_weights(table), "w")), "BroadcastExchangeExec")
+    assert 2 * bytes_of(dictionary.coded_predictions(coded, weights), "BroadcastExchangeExec") <= words_sent
+
+
+def test_nothing(reviews):
+    table = reviews([], TEXTS)
+    listed = store(dictionary.word_dictionary(words.word_counts(table)), "dictionary")
+    assert listed.collect() == []
+    coded = store(dictionary.code_reviews(table, listed, others=["review_id", *words.BY]), "coded")
+    assert dictionary.coded_top_words(dictionary.coded_word_counts(coded), listed).collect() == []
+    assert files.small(listed, 10) is not None

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from reviewlens.functions.text import explode_words
 from reviewlens.operators import ratings, sentiment, words
 from reviewlens.plans import tables
 from reviewlens.sources import files
@@ -26,6 +27,28 @@ def plan_of(df, run=False):
     return text.split("== Initial Plan ==")[0]
 
 
+def nodes_of(plan):
+    """The operators of a plan that ran, those of its stages among them."""
+    if hasattr(plan, "executedPlan") and plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    if "QueryStage" in plan.nodeName() or plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        plan = plan.plan()
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from nodes_of(children.apply(i))
+
+
+def shuffled_rows(df):
+    """Rows written by the shuffles of a query."""
+    df.collect()
+    found = 0
+    for node in nodes_of(df._jdf.queryExecution().executedPlan()):
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            found += node.metrics().apply("shuffleRecordsWritten").value()
+    return found
+
+
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("stored") / "reviews")
@@ -131,7 +154,45 @@ def test_prediction_plans(spark):
     assert "BroadcastHashJoin" in whole and whole.count("Exchange hashpartitioning") == 1
     parts = plan_of(sentiment.predict_ratings(texts, weights, max_broadcast_bytes=0))
     assert parts.count("BroadcastHashJoin") == 2 and parts.count("SortMergeJoin") == 1
-    assert "Exchange hashpartitioning(word" in parts and "salt" in parts
+    assert parts.count("Exchange hashpartitioning(word") == 2
+
+
+def test_a_vocabulary_stays_in_place(spark):
+    """Only the words of the texts are shuffled to it."""
+    texts = tables.text_table(spark, FOLDER)
+    vocabulary = sentiment.store_vocabulary(sentiment.word_weights(texts))
+    plan = plan_of(sentiment.predict_ratings(texts, vocabulary, max_broadcast_bytes=0))
+    join = plan[plan.index("SortMergeJoin") :]
+    assert join.count("Exchange hashpartitioning(word") == 1 and "Bucketed: true" in join
+    name = vocabulary.table.inputFiles()[0].rsplit("/", 2)[1].replace("-", "_")
+    files.release(spark)
+    assert not spark.catalog.tableExists(name)
+
+
+def test_texts_are_hashed_once_and_stay_behind(spark):
+    """Below the explode, so that a text's words do not each carry it and hash it again."""
+    texts = tables.text_table(spark, FOLDER)
+    weights = files.store(sentiment.word_weights(texts), "weights")
+    for limit in (64 << 20, 0):
+        plan = plan_of(sentiment.predict_ratings(texts, weights, max_broadcast_bytes=limit))
+        above = [line for line in plan.splitlines() if "Generate posexplode" in line]
+        assert above and all("text#" not in line.split("posexplode")[1] for line in above)
+        for part in re.split("Generate posexplode", plan)[:-1]:
+            below_last_scan = part.rsplit("FileScan", 1)[-1]
+            assert "xxhash64(text" not in below_last_scan and "xxhash64(review_body" not in below_last_scan
+
+
+def test_ratings_are_counted_beside_each_other(spark):
+    """A word's five ratings make one row of the shuffle."""
+    texts = tables.text_table(spark, FOLDER)
+    plan = plan_of(words.word_counts(texts))
+    assert "Exchange hashpartitioning(product_category" in plan and plan.count("Exchange") == 1
+    assert "star_rating" not in re.search(r"Exchange hashpartitioning\(([^)]*)\)", plan)[1]
+    apart = explode_words(words.rated_texts(texts), "review_body").groupBy(*words.BY, "word").count()
+    assert shuffled_rows(words.word_counts(texts)) < shuffled_rows(apart)
+    often = files.store(texts.unionByName(texts.withColumn("star_rating", 6 - F.col("star_rating"))).coalesce(1), "often")
+    apart = explode_words(words.rated_texts(often), "review_body").groupBy(*words.BY, "word").count()
+    assert 1.5 * shuffled_rows(words.word_counts(often)) < shuffled_rows(apart)
 
 
 def test_category_folders_are_rebalanced(spark, stored):

@@ -81,15 +81,16 @@ PLANS = [
     {"max_broadcast_bytes": 0, "max_frequent_bytes": 20 * FREQUENT},
     {"max_broadcast_bytes": 0, "max_frequent_bytes": FREQUENT},
     {"max_broadcast_bytes": 0, "max_frequent_bytes": 10**6 * FREQUENT},
-    {"max_broadcast_bytes": 0, "max_frequent_bytes": 20 * FREQUENT, "salts": 1},
 ]
 
 
+@pytest.mark.parametrize("made_for_lookups", [False, True])
 @pytest.mark.parametrize("options", PLANS)
-def test_predictions(reviews, options):
+def test_predictions(reviews, options, made_for_lookups):
     rows = random_rows()
     table = reviews(rows, COLUMNS)
-    weights = store(sentiment.word_weights(table), "weights")
+    weights = sentiment.word_weights(table)
+    weights = sentiment.store_vocabulary(weights) if made_for_lookups else store(weights, "weights")
     found = sentiment.predict_ratings(table, weights, **options).collect()
     expected = predictions_of(rows, weights_of(rows))
     assert len(found) == len(expected)
@@ -118,6 +119,28 @@ def test_long_words_are_not_broadcast(reviews):
     assert {r["review_id"]: r["predicted_rating"] for r in scored.collect()} == {"1": 4.0, "2": 2.0, "3": 3.0}
 
 
+def test_words_rare_in_training_and_frequent_in_scored_texts(reviews, monkeypatch):
+    """Some with a weight and some without, one of them too long to be one of many frequent words."""
+    monkeypatch.setattr(sentiment, "HOT_ROWS", 10)
+    trained = [(str(i), 1 + i % 5, " ".join(f"t{i % 40}" for _ in range(50))) for i in range(200)]
+    trained += [("a", 5, "seldom"), ("b", 2, "seldom " + "y" * 200)]
+    weights = sentiment.store_vocabulary(sentiment.word_weights(reviews(trained, COLUMNS)), buckets=3)
+    rows = [(str(i), None, " ".join(["seldom", "unknown", "t1", "y" * 200][: 1 + i % 4]) + f" once{i}") for i in range(300)]
+    expected = predictions_of(rows, weights_of(trained))
+    for limit in (5 * FREQUENT, 300 * FREQUENT):
+        scored = sentiment.predict_ratings(reviews(rows, COLUMNS), weights, max_broadcast_bytes=0, max_frequent_bytes=limit)
+        assert {r["review_id"]: r["predicted_rating"] for r in scored.collect()} == pytest.approx(expected)
+
+
+def test_very_many_equal_reviews(reviews, monkeypatch):
+    monkeypatch.setattr(sentiment, "COPIES", 7)
+    weights = store(sentiment.word_weights(reviews([("1", 4, "good")], COLUMNS)), "weights")
+    for n in (6, 7, 8, 30):
+        rows = [(None, None, "good")] * n + [("x", None, "other")]
+        scored = sentiment.predict_ratings(reviews(rows, COLUMNS), weights)
+        assert sorted(map(str, map(tuple, scored.collect()))) == sorted([str((None, 4.0))] * n + [str(("x", None))])
+
+
 def test_no_vocabulary(reviews):
     table = reviews([("1", None, "good")], COLUMNS)
     weights = store(sentiment.word_weights(table), "weights")
