@@ -18,8 +18,10 @@ empty result.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +70,21 @@ class ByteTokenizer:
         return self.vocabulary.encode_arrays([" " + text for text in texts])
 
 
+# Texts on which a sentencepiece model shows whether it takes a text word by word.
+PROBES = ("a", " a", "a ", "a  b", "  ", "the cat  sat\n on\t the mat ", "straße é漢字 🙂 x", "a\u00a0b \u0308c", "ﬁ ① Ａ")
+
+# Words whose ids a worker remembers.
+CACHED_WORDS = 1 << 17
+
+
 class PieceTokenizer:
-    """A sentencepiece model, which puts a space before each text itself."""
+    """A sentencepiece model, which puts a space before each text itself.
+
+    Most models merge nothing across the start of a word: where no piece has a space behind another
+    character, the words of a text, each with the spaces before it, are encoded by themselves, and those met
+    before are remembered. Whether that holds is read from the pieces and tried on `PROBES`; a model for
+    which it does not is given whole texts.
+    """
 
     def __init__(self, serialised: bytes):
         import sentencepiece
@@ -80,10 +95,33 @@ class PieceTokenizer:
             piece = model.id_to_piece(i)
             bytes_of[i] = bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
         self.tokens = Tokens(bytes_of)
+        self._space = np.array([model.piece_to_id("▁")], np.int32).tobytes()  # the model encodes nothing as nothing
+        self._known: dict[str, bytes] = {}
+        spaces = (model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
+        self.by_word = not any("▁" in piece for piece in spaces)
+        self.by_word = self.by_word and all(map(np.array_equal, self.encode(PROBES), self._whole(PROBES)))
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+    def _whole(self, texts: Sequence[str]) -> list[np.ndarray]:
         return [np.array(ids, np.int32) for ids in self.model.encode(list(texts), num_threads=1)]
 
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            return self._whole(texts)
+        cut = [_WORDS(" " + text) if text else [] for text in texts]
+        if len(self._known) > CACHED_WORDS:
+            self._known = {}
+        new = list(set(chain.from_iterable(cut)) - self._known.keys())
+        # The model adds a space, so a word is given without the first one of its own.
+        ids = self.model.encode([word[1:] for word in new], num_threads=1)
+        packed = (np.array(found, np.int32).tobytes() if len(word) > 1 else self._space for word, found in zip(new, ids))
+        self._known.update(zip(new, packed))
+        known = self._known.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in cut]
+
+
+# Words with the spaces before them, and the spaces at the end; the piece model's own mark is one.
+_WORDS = re.compile("[ ▁]+[^ ▁]*").findall
+
 
 @cache
 def _tokenizers(a: str, b: bytes) -> tuple[ByteTokenizer, PieceTokenizer]:
@@ -166,7 +204,8 @@ def align_texts(a: ByteTokenizer, b: PieceTokenizer, texts: Sequence[str]) -> li
     both = []
     for i, (text, ids_a, ids_b) in enumerate(zip(texts, a.encode(texts), b.encode(texts))):
         expected = (" " + text).encode()
-        if text and a.tokens.spell(ids_a, expected) and b.tokens.spell(ids_b, expected):
+        # Byte-level pieces cover a text whole, so their sizes tell; what the other model normalises is compared.
+        if text and a.tokens.sizes[ids_a].sum() == len(expected) and b.tokens.spell(ids_b, expected):
             both.append((i, ids_a, ids_b))
     if not both:
         return found

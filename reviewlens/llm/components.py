@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.sources.files import release, store
+from reviewlens.sources.files import keep, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,15 +17,15 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder, which cuts lineage, and the round before it released.
     """
     larger, smaller = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    stars = store(edges.where("a != b").select(larger, smaller).distinct(), "stars")
+    stars, path = keep(edges.where("a != b").select(larger, smaller).distinct(), "stars")
     before = None
     while True:
         state = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
-        before, old = state, stars
-        stars = store(_small_star(_large_star(stars)), "stars")
-        release(edges.sparkSession, {path.rsplit("/", 1)[0] for path in old.inputFiles()})
+        before, old = state, path
+        stars, path = keep(_small_star(_large_star(stars)), "stars")
+        release(edges.sparkSession, [old])
     roots = stars.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 

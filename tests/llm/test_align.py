@@ -116,3 +116,17 @@ def test_statistics_of_links(spark, libraries, monkeypatch, limit):
 def test_an_empty_table(spark):
     stored = store(align.alignments(spark.createDataFrame([], SCHEMA), *PATHS), "alignments")
     assert align.link_statistics(stored).collect() == []
+
+
+def test_words_are_encoded_as_whole_texts_are(ours, monkeypatch):
+    pieces = ours[1]
+    r = random.Random(5)
+    given = [*texts(), *align.PROBES, "", " ", "▁", "▁ ▁a▁▁ b "]
+    given += ["".join(r.choice("ab ▁\n é漢") for _ in range(r.randrange(30))) for _ in range(2000)]
+    assert pieces.by_word
+    monkeypatch.setattr(align, "CACHED_WORDS", 50)  # forgotten from batch to batch
+    for start in range(0, len(given), 400):
+        part = given[start : start + 400]
+        assert all(map(np.array_equal, pieces.encode(part), pieces._whole(part)))
+    monkeypatch.setattr(pieces, "by_word", False)
+    assert all(map(np.array_equal, pieces.encode(given[:200]), pieces._whole(given[:200])))
