@@ -21,7 +21,6 @@ import json
 import re
 from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,32 +58,38 @@ class Tokens:
 
 
 class ByteTokenizer:
-    """Byte-level BPE in the tokenizers library's JSON form; special tokens' strings are plain text."""
+    """Byte-level BPE in the tokenizers library's JSON form; special tokens' strings are plain text.
+
+    Where every token's id follows from the rank of the merge that makes it, tiktoken encodes the texts on
+    whose letters and numbers all libraries agree, those up to U+024F, if no word of them is very long.
+    """
 
     def __init__(self, serialised: str):
+        import tiktoken
+
         parsed = json.loads(serialised)
-        self.vocabulary = bpe.Vocabulary(json.dumps(parsed | {"added_tokens": []}))
-        self.tokens = Tokens(self.vocabulary.bytes_of)
+        self.vocabulary = known = bpe.Vocabulary(json.dumps(parsed | {"added_tokens": []}))
+        self.tokens = Tokens(known.bytes_of)
+        merged = [i for _, i in sorted(known.merges.values())]
+        by_rank = merged == list(range(256, 256 + len(merged))) and sorted(known.base) == list(range(256))
+        ranks = {known.bytes_of[i]: i for i in range(256 + len(merged))} if by_rank else {}
+        self.fast = None
+        if len(ranks) == 256 + len(merged):
+            self.fast = tiktoken.Encoding("bytes", pat_str=bpe.PIECES, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        return self.vocabulary.encode_arrays([" " + text for text in texts])
+        texts = [" " + text for text in texts]
+        odd = [i for i, text in enumerate(texts) if self.fast is None or _ODD(text)]
+        found = dict(zip(odd, self.vocabulary.encode_arrays([texts[i] for i in odd])))
+        return [found[i] if i in found else np.array(self.fast.encode_ordinary(t), np.int32) for i, t in enumerate(texts)]
 
 
-# Texts on which a sentencepiece model shows whether it takes a text word by word.
-PROBES = ("a", " a", "a ", "a  b", "  ", "the cat  sat\n on\t the mat ", "straße é漢字 🙂 x", "a\u00a0b \u0308c", "ﬁ ① Ａ")
-
-# Words whose ids a worker remembers.
-CACHED_WORDS = 1 << 17
+# What is left to the vocabulary itself: characters beyond U+024F, and words of over 1,000 characters.
+_ODD = re.compile(r"[^\x00-\u024f]|[^ \n]{1000}").search
 
 
 class PieceTokenizer:
-    """A sentencepiece model, which puts a space before each text itself.
-
-    Most models merge nothing across the start of a word: where no piece has a space behind another
-    character, the words of a text, each with the spaces before it, are encoded by themselves, and those met
-    before are remembered. Whether that holds is read from the pieces and tried on `PROBES`; a model for
-    which it does not is given whole texts.
-    """
+    """A sentencepiece model, which puts a space before each text itself."""
 
     def __init__(self, serialised: bytes):
         import sentencepiece
@@ -95,32 +100,9 @@ class PieceTokenizer:
             piece = model.id_to_piece(i)
             bytes_of[i] = bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode()
         self.tokens = Tokens(bytes_of)
-        self._space = np.array([model.piece_to_id("▁")], np.int32).tobytes()  # the model encodes nothing as nothing
-        self._known: dict[str, bytes] = {}
-        spaces = (model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
-        self.by_word = not any("▁" in piece for piece in spaces)
-        self.by_word = self.by_word and all(map(np.array_equal, self.encode(PROBES), self._whole(PROBES)))
-
-    def _whole(self, texts: Sequence[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int32) for ids in self.model.encode(list(texts), num_threads=1)]
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return self._whole(texts)
-        cut = [_WORDS(" " + text) if text else [] for text in texts]
-        if len(self._known) > CACHED_WORDS:
-            self._known = {}
-        new = list(set(chain.from_iterable(cut)) - self._known.keys())
-        # The model adds a space, so a word is given without the first one of its own.
-        ids = self.model.encode([word[1:] for word in new], num_threads=1)
-        packed = (np.array(found, np.int32).tobytes() if len(word) > 1 else self._space for word, found in zip(new, ids))
-        self._known.update(zip(new, packed))
-        known = self._known.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in cut]
-
-
-# Words with the spaces before them, and the spaces at the end; the piece model's own mark is one.
-_WORDS = re.compile("[ ▁]+[^ ▁]*").findall
+        return [np.array(ids, np.int32) for ids in self.model.encode(list(texts), num_threads=1)]
 
 
 @cache

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.sources.files import store
+
 UNKNOWN = "und"
 
 # Trigrams are hashed to as many buckets; a model takes four bytes for each of them and each language.
@@ -121,8 +123,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), _raw(text))
     counted = known.mapInArrow(_count, "lang string, bucket int, n bigint")
-    sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    n_languages = known.select("lang").distinct().count()
+    sums = store(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    n_languages = sums.select("lang").distinct().count()
     if 4 * BUCKETS * n_languages > MAX_MODEL_BYTES:
         raise ValueError(f"{n_languages} languages: a model of {BUCKETS} buckets each is too large to broadcast")
     found = sums.toArrow()

@@ -6,7 +6,7 @@ emitted. Documents are lined up by size, so a source's words come as near its ta
 allows, whichever offset is drawn.
 
 A place in that line is found without gathering a source in one task: documents are counted per
-(source, size, part), part being the identifier modulo `PARTS`; running sums over those counts give
+(source, size, part), part being the identifier (or its hash, if it is no whole number) modulo `PARTS`; running sums over those counts give
 each part its first place, and a window within a part the rest.
 
 Nulls: a null text has size 0, a null source is a source of its own, last in order, a null
@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reviewlens.llm.places import field, located, small_side
 from reviewlens.sources.files import store
@@ -42,11 +43,18 @@ def source_targets(
 
     All targets together are `share` times all words, dealt by weight; what a target has over `most`
     times its source's size goes to the other sources by weight, until none is above. Each round is
-    one aggregate over the sources. Their rows, one per source, are ranked in one task.
+    one aggregate over the sources. They are ranked by ranges of their names, each on its own.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = per_source.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") - 1) % len(weights) + 1)
+    by_name = F.asc_nulls_last("source")
+    ranged = store(per_source.repartitionByRange(by_name).withColumn("range", F.spark_partition_id()), "ranges")
+    # One row for each range, however many sources there are.
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(by_name))
+    ranked = ranged.withColumn("within", within).join(counts, "range").withColumn("place", F.col("within") + F.col("before"))
+    turn = ((F.col("place") - 1) % len(weights) + 1).cast("int")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn)
     cap = most * F.col("source_size")
     listed = store(ranked.select("source", "source_size", weight.alias("weight"), cap.alias("cap")), "sources")
 
@@ -112,12 +120,14 @@ def _taken(
     most: float = 2.0,
     seed: int = 0,
 ) -> DataFrame:
+    is_number = isinstance(docs.schema["__row"].dataType[key].dataType, T.IntegralType)
+    number = field(key) if is_number else F.when(field(key).isNotNull(), F.xxhash64(field(key)))
     sized = docs.select(
         F.col("__at").alias("at"),
         field(key).alias("doc_id"),
         field(source).alias("source"),
         word_count(field(text)).alias("size"),
-        F.coalesce(F.pmod(field(key), F.lit(PARTS)), F.lit(-1)).cast("int").alias("part"),
+        F.coalesce(F.pmod(number, F.lit(PARTS)), F.lit(-1)).cast("int").alias("part"),
     )
     sizes = store(sized, "sizes")
     targets = store(source_targets(sizes, weights, share, most), "targets")

@@ -11,7 +11,7 @@ of those, of the short ones too, in hexadecimal. Two fingerprints are as alike a
 the share of names in both among the smallest of either.
 
 Nulls: a null text is an empty one, whose fingerprint is `:`. Equal texts have equal fingerprints, and
-those have likeness 1. For the order of documents: larger identifiers first, then a null one; rows of
+those have likeness 1. For the order of documents: larger identifiers first, which are numbers, then a null one; rows of
 one identifier in order of a hash of their text, then their text. An only document is followed by itself.
 """
 

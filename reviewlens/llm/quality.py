@@ -1,13 +1,13 @@
 """Quality classifier: a regularised quadratic discriminant over transformed document statistics.
 
 A document becomes a vector of statistics, as logarithms or shares. Each class has a mean and a
-covariance, the latter shrunk towards the pooled one and that towards its diagonal; the score is the
-logistic of the difference of the two log-densities, each a Mahalanobis distance computed with a cached
+covariance, the latter shrunk towards the pooled one, by a share that is chosen on folds of the sample, and
+that towards its diagonal; the score is the logistic of the difference of the two log-densities, each a Mahalanobis distance computed with a cached
 Cholesky factor. It is fitted on a bounded sample of labelled documents, a fixed number of each class,
 taken in order of a hash of the identifier; every document is scored.
 
 Nulls: a null text is an empty one and is scored as such. Labels other than 0 and 1 and documents
-without one teach nothing. With fewer than two documents of either class every score is 0.5 or, if
+without one teach nothing; of documents that share an identifier and its label one teaches. With fewer than two documents of either class every score is 0.5 or, if
 only one class is known, the share of that class. An empty table gives an empty result.
 """
 
@@ -28,8 +28,10 @@ from reviewlens.llm.places import free_name
 # Labelled documents of each class that the fit takes.
 SAMPLE_PER_CLASS = 20_000
 
-# Share of the pooled covariance in a class's own, and of its diagonal in the pooled one.
-SHRINK_TO_POOLED = 0.4
+# Shares of the pooled covariance in a class's own that are tried, on so many folds of the sample, and the
+# share of its diagonal in the pooled one.
+SHRINK_TO_POOLED = (0.05, 0.2, 0.4, 0.7, 1.0)
+TRIED_FOLDS = 4
 SHRINK_TO_DIAGONAL = 0.1
 
 # What shares are added to before their logarithm is taken.
@@ -99,13 +101,36 @@ class Discriminant:
         sizes = np.bincount(labels, minlength=2)
         if sizes.min() < 2:
             return prior if sizes.min() == 0 and sizes.max() else 0.5
+        shrink = SHRINK_TO_POOLED[len(SHRINK_TO_POOLED) // 2]
+        if sizes.min() >= 4 * TRIED_FOLDS:
+            shrink = min(SHRINK_TO_POOLED, key=lambda tried: cls._loss(vectors, labels, prior, tried))
+        return cls._fit(vectors, labels, prior, shrink)
+
+    @classmethod
+    def _loss(cls, vectors: np.ndarray, labels: np.ndarray, prior: float, shrink: float) -> float:
+        """The logarithmic loss of each fold under the discriminant of the others, all added up. The vectors
+        of a class are dealt over folds in turn."""
+        turn = np.empty(len(labels), np.int64)
+        for c in (0, 1):
+            turn[labels == c] = np.arange((labels == c).sum()) % TRIED_FOLDS
+        total = 0.0
+        for fold in range(TRIED_FOLDS):
+            own = turn == fold
+            score = cls._fit(vectors[~own], labels[~own], prior, shrink).score(vectors[own])
+            right = np.where(labels[own] == 1, score, 1 - score)
+            total -= np.log(np.maximum(right, 1e-12)).sum()
+        return float(total)
+
+    @classmethod
+    def _fit(cls, vectors: np.ndarray, labels: np.ndarray, prior: float, shrink: float) -> Discriminant:
+        sizes = np.bincount(labels, minlength=2)
         scale = vectors.std(0) + 1e-6
         means = np.stack([vectors[labels == c].mean(0) for c in (0, 1)])
         own = [np.cov((vectors[labels == c] / scale).T) for c in (0, 1)]
         pooled = sum(c * n for c, n in zip(own, sizes)) / sizes.sum()
         pooled = (1 - SHRINK_TO_DIAGONAL) * pooled + SHRINK_TO_DIAGONAL * np.diag(np.diag(pooled))
         floor = 1e-3 * np.eye(vectors.shape[1])
-        factors = [np.linalg.cholesky((1 - SHRINK_TO_POOLED) * c + SHRINK_TO_POOLED * pooled + floor) for c in own]
+        factors = [np.linalg.cholesky((1 - shrink) * c + shrink * pooled + floor) for c in own]
         whiten = np.stack([np.linalg.inv(f) / scale for f in factors])
         log_det = np.array([2 * np.log(np.diag(f)).sum() for f in factors])
         prior = min(max(prior, 1e-6), 1 - 1e-6)
@@ -152,7 +177,13 @@ def fit(
     chosen = docs.select(F.col(key).alias("__key"), _text(docs, text).alias("__text")).join(
         F.broadcast(sample[0].unionByName(sample[1])), "__key"
     )
-    vectors = chosen.select("__label", "__text").mapInArrow(_vectors, "label int, vector array<double>").toArrow()
+    key_type = docs.schema[key].dataType
+    schema = T.StructType(
+        [T.StructField("key", key_type), T.StructField("label", T.IntegerType()), T.StructField("vector", T.ArrayType(T.DoubleType()))]
+    )
+    vectors = chosen.select("__key", "__label", "__text").mapInArrow(_vectors, schema)
+    # However many documents share an identifier, one vector for each label of the sample comes back.
+    vectors = vectors.groupBy("key", "label").agg(F.min("vector").alias("vector")).select("label", "vector").toArrow()
     found = np.array(vectors.column("vector").to_pylist()).reshape(-1, FEATURES)
     classes = np.array(vectors.column("label").to_pylist(), dtype=np.int64)
     order = np.lexsort([*found.T, classes])  # sums do not depend on the order rows come in
@@ -161,8 +192,8 @@ def fit(
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        vectors = pa.array([features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), vectors], ["label", "vector"])
+        vectors = pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], vectors], ["key", "label", "vector"])
 
 
 def score(docs: DataFrame, model: Discriminant | float, text: str = "text", name: str = "score") -> DataFrame:

@@ -13,9 +13,9 @@ writing them as sequential files. Common prefixes of as many symbols as a
 window has are repeated windows.
 
 An anchor in more different segments than a collection holds, such as a very common line, is split:
-its windows are counted by a 128-bit hash of their bytes.
+its windows are counted by a digest of their bytes.
 
-Segments are told equal by a 128-bit hash of their bytes. Scratch files are a task's own: nothing else
+Segments and such windows are told equal by a cryptographic digest of their bytes, 128 bits of BLAKE2b. Scratch files are a task's own: nothing else
 reads them, they are deleted as the task ends, and a task that is lost makes them anew.
 
 Nulls: a null text is an empty one. Texts shorter than a window lose nothing. Repeated rows are
@@ -27,11 +27,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator, Sequence
+from hashlib import blake2b
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,7 +123,7 @@ def _all_segments(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
             columns = segments(text, length, gram)
             first, n = columns[:2]
             ends = (first + n + (length - 1)).tolist()
-            digests.extend([xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(first.tolist(), ends)])
+            digests.extend([blake2b(text[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), ends)])
             owners.append(np.full(len(first), i))
             found.append(columns)
         if not found:
@@ -335,7 +335,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 first, n, anchor, copies = one["first"], one["n"], one["anchor"], one["copies"]
                 if one["split"]:
                     for start in range(first, first + n):
-                        digest = xxhash.xxh3_128_digest(text[start : start + length])
+                        digest = blake2b(text[start : start + length], digest_size=16).digest()
                         w1, w2 = np.frombuffer(digest, np.int64).tolist()
                         rows.append((None, copies, f, row, start, None, w1, w2, None))
                 else:
@@ -418,6 +418,8 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
 
     windows = cut.where(F.col("anchor").isNull())
     often = windows.groupBy("w1", "w2").agg(F.sum("copies").alias("times")).where("times > 1")
+    # Stored, so that the join of a window that very many documents hold is split.
+    often = store(often.select("w1", "w2"), "windows")
     split = windows.where("copies = 1").join(often, ["w1", "w2"])
     split = split.select("f", "row", F.col("first").alias("low"), F.col("first").alias("high"))
     return ranges.unionByName(compared).unionByName(split)

@@ -118,15 +118,15 @@ def test_an_empty_table(spark):
     assert align.link_statistics(stored).collect() == []
 
 
-def test_words_are_encoded_as_whole_texts_are(ours, monkeypatch):
-    pieces = ours[1]
+def test_both_ways_of_encoding_agree(ours, libraries, monkeypatch):
+    tokenizer = ours[0]
     r = random.Random(5)
-    given = [*texts(), *align.PROBES, "", " ", "▁", "▁ ▁a▁▁ b "]
-    given += ["".join(r.choice("ab ▁\n é漢") for _ in range(r.randrange(30))) for _ in range(2000)]
-    assert pieces.by_word
-    monkeypatch.setattr(align, "CACHED_WORDS", 50)  # forgotten from batch to batch
-    for start in range(0, len(given), 400):
-        part = given[start : start + 400]
-        assert all(map(np.array_equal, pieces.encode(part), pieces._whole(part)))
-    monkeypatch.setattr(pieces, "by_word", False)
-    assert all(map(np.array_equal, pieces.encode(given[:200]), pieces._whole(given[:200])))
+    given = texts()
+    given += ["".join(r.choice("ab '\n\t\u0085\xa0é0²½!?\x1c\x1fÀ") for _ in range(r.randrange(60))) for _ in range(3000)]
+    given += ["".join(chr(r.randrange(0x250)) for _ in range(r.randrange(60))) for _ in range(3000)]
+    given += ["x" * 5000 + " y", "'s 'll 'LL it's", "<|endoftext|>"]
+    assert tokenizer.fast is not None
+    found = tokenizer.encode(given)
+    assert [f.tolist() for f in found[-4000:]] == [libraries[0].encode(" " + t, add_special_tokens=False).ids for t in given[-4000:]]
+    monkeypatch.setattr(tokenizer, "fast", None)
+    assert all(map(np.array_equal, found, tokenizer.encode(given)))

@@ -100,6 +100,19 @@ def test_mix(docs, nothing):
     assert mixing.copies(nothing).collect() == [] and mixing.mix(nothing).collect() == []
 
 
+def test_mix_of_many_sources_and_named_documents(spark):
+    """As many sources as ranges and more, one of them null, and identifiers in words."""
+    rows = [(f"d{i}", "word " * (1 + i % 7), f"s{i % 61:02}" if i % 61 else None) for i in range(610)]
+    found = mixing.copies(spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(4)).collect()
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    by_target = {r["source"]: r["target"] / weight[r["source"]] for r in found if r["target"] < 2 * r["source_size"]}
+    assert len(found) == 610 and max(by_target.values()) == pytest.approx(min(by_target.values()))
+    assert {r["doc_id"] for r in found} == {i for i, *_ in rows}
+
+
 def test_bpe_agrees_with_the_library(docs, nothing):
     found = bpe.encode(docs, VOCABULARY, decoded=True).collect()
     expected = []
@@ -140,6 +153,65 @@ def test_packing_is_lossless(spark, docs, nothing, tmp_path):
     assert packing.pack(nothing, VOCABULARY).collect() == []
 
 
+def by_hand_packed(pieces, length):
+    """Rows of (key, number) by best fit, decreasing, from one shard's (size, key, number)."""
+    order = sorted(pieces, key=lambda p: (-p[0], p[1] is None, p[1] or 0, p[2]))
+    rows = []
+    for size, key, number in order:
+        fits = [r for r in rows if r[0] >= size]
+        row = min(fits, key=lambda r: r[0], default=None)
+        if row is None:
+            row = [length, []]
+            rows.append(row)
+        row[0] -= size
+        row[1].append((key, number, size))
+    return rows
+
+
+def test_a_shard_is_the_best_fit(spark, monkeypatch):
+    """In each shard, rows as full as by hand, whichever of two equally full ones a piece went to."""
+    monkeypatch.setattr(packing, "SHARD_BYTES", 4000)
+    r = random.Random(12)
+    table = spark.createDataFrame([(i, sentence(r, r.randint(0, 90))) for i in range(150)], "doc_id long, text string")
+    shards = {}
+    for row in packing.pack(table.repartition(3), VOCABULARY, 50).collect():
+        ends = row["cu_seqlens"]
+        sizes = [b - a for a, b in zip(ends, ends[1:])]
+        shards.setdefault(row["pack_id"] >> 32, []).append(list(zip(row["doc_ids"], row["pieces"], sizes)))
+    assert len(shards) > 3
+    for rows in shards.values():
+        pieces = [(size, key, number) for row in rows for key, number, size in row]
+        expected = sorted(50 - left for left, _ in by_hand_packed(pieces, 50))
+        assert sorted(sum(size for *_, size in row) for row in rows) == expected
+
+
+def test_packing_identifiers_of_any_type_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 2000)
+    named = spark.createDataFrame([(f"d{i % 40}" if i % 9 else None, "one two three " * (i % 5)) for i in range(120)], "doc_id string, text string")
+    rows = packing.pack(named, VOCABULARY, 16).collect()
+    assert {k for r in rows for k in r["doc_ids"]} == {None, *(f"d{i}" for i in range(40) if any(j % 5 and j % 9 for j in (i, i + 40, i + 80)))}
+    equal = spark.createDataFrame([(None, "the same text in all")] * 600, "doc_id long, text string").coalesce(1)
+    per_shard = Counter(r["pack_id"] >> 32 for r in packing.pack(equal, VOCABULARY, 16).collect() for _ in r["doc_ids"])
+    assert sum(per_shard.values()) == 600 and len(per_shard) > 3 and max(per_shard.values()) < 300
+
+
+def test_packed_matrices(docs, nothing):
+    packed = packing.pack(docs, VOCABULARY, 64)
+    by_id = {r["pack_id"]: r for r in packed.collect()}
+    n = 0
+    for matrix in packing.matrices(packed, 64, pad=7, rows=5).collect():
+        ids, places = (np.frombuffer(matrix[c], "<u4").reshape(matrix["n_rows"], 64) for c in ("ids", "position_ids"))
+        ends = iter(matrix["cu_seqlens"])
+        assert 1 <= matrix["n_rows"] <= 5
+        for pack_id, own, place, segments in zip(matrix["pack_ids"], ids, places, matrix["n_segments"]):
+            row = by_id[pack_id]
+            assert own.tolist() == np.frombuffer(row["ids"], "<u2").tolist() + [7] * (64 - row["n_tokens"])
+            assert place[: row["n_tokens"]].tolist() == np.frombuffer(row["position_ids"], "<u2").tolist()
+            assert [next(ends) for _ in range(segments + 1)] == row["cu_seqlens"]
+            n += 1
+    assert n == len(by_id) and packing.matrices(packing.pack(nothing, VOCABULARY), 2048).collect() == []
+
+
 def test_best_fit_decreasing():
     r = random.Random(1)
     sizes = sorted((r.randint(1, 40) for _ in range(300)), reverse=True)

@@ -2,9 +2,12 @@
 
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from reviewlens.llm import quality, queries
 from reviewlens.llm.simhash import fingerprint
+from reviewlens.sources import files
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -46,3 +49,18 @@ def test_stages(spark, tmp_path):
             expected = [r["doc_id"] for r in before]
         assert sorted(r["doc_id"] for r in after) == sorted(expected), name
         docs, before = result, after
+
+
+def test_nothing_is_left_but_the_result(spark, monkeypatch):
+    before = files.intermediates()
+    result = corpus_pipeline.run(spark, FOLDER)
+    left = [path for path in files.intermediates() if path not in before]
+    assert len(left) == 1 and result.count() > 0 and all(left[0].rsplit("/", 1)[1] in file for file in result.inputFiles())
+
+    def fails(spark, docs, folder):
+        raise ArithmeticError
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*corpus_pipeline.STAGES[:2], ("fails", fails)])
+    with pytest.raises(ArithmeticError):
+        corpus_pipeline.run(spark, FOLDER)
+    assert [path for path in files.intermediates() if path not in before] == left
