@@ -347,6 +347,11 @@ def files_under(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
+def intermediates() -> list[str]:
+    """The paths of this process's intermediates that have not been released."""
+    return list(_handed_out)
+
+
 def release(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
     """Deletes intermediates, all of this process's without `paths`. Frames that read them are of no
     use afterwards."""
