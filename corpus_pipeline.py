@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from reviewlens.llm import bpe, exact, mixing, quality, simhash
 from reviewlens.llm.queries import vocabulary
 from reviewlens.plans.session import name_folder
-from reviewlens.sources.files import store
+from reviewlens.sources.files import intermediates, keep, release
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the whole of `documents`."""
+    """The stages over the whole of `documents`. What a stage leaves behind, and its input, goes as soon as
+    its result is written, or as it fails."""
     name_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    others = set(intermediates())
+    kept = None
+    try:
+        for name, stage in STAGES:
+            docs, kept = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            release(spark, [path for path in intermediates() if path not in others and path != kept])
+    except BaseException:
+        release(spark, [path for path in intermediates() if path not in others])
+        raise
     return docs
