@@ -272,7 +272,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", t
                 part = batch.slice(start, stop - start)
                 yield _batch(part.columns[:3], align_texts(a, b, texts[start:stop]))
 
-    at = [F.xxhash64("__at.file").alias("f"), F.col("__at.row").alias("row")]
+    at = [F.col("__at.file").alias("f"), F.col("__at.row").alias("row")]
     rows = located(docs).select(field(key).alias("doc_id"), *at, field(text).cast("string").cast("binary").alias("text"))
     fields = [T.StructField("doc_id", docs.schema[key].dataType), T.StructField("f", T.LongType()), T.StructField("row", T.LongType())]
     fields += [T.StructField(c, T.LongType()) for c in _COUNTS]

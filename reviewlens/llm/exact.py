@@ -7,7 +7,7 @@ digest was met more than once, the bytes at all its places are compared; rows wh
 spite of one digest are grouped again by the bytes themselves.
 
 Nulls: a null text is an empty one; a null identifier is the smallest. Of rows with equal texts and
-identifiers the one stored last stays. An empty table gives an empty result.
+identifiers one stays, in every run the same. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm.places import field, located, small_side
+from reviewlens.llm.places import beside, field, located
 from reviewlens.sources.files import new_folder, store
 
 # State on disk. A store is a partition of the state, so there are many small ones, which should not
@@ -130,7 +130,8 @@ def _unequal(docs: DataFrame, hits: DataFrame, text: str) -> DataFrame:
     that read them: however many rows share a digest, a task sends its text once.
     """
     hits = store(hits.select("at", "digest", "n_bytes"), "hits")
-    texts = docs.select(F.col("__at").alias("at"), _body(text).alias("body")).join(small_side(hits), "at")
+    texts = docs.select(F.col("__at").alias("at"), _body(text).alias("body"))
+    texts = beside(texts, hits, ["at"], "at.file")
     different = texts.select("digest", "n_bytes", "body").distinct()
     return different.groupBy("digest", "n_bytes").agg(F.count("*").alias("bodies")).where("bodies > 1").drop("bodies")
 
@@ -153,4 +154,4 @@ def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "tex
     places = located(docs)
     decided = decide(places, key, text, **options)
     dropped = store(decided.where(F.col("at") != F.col("keep_at")).select(F.col("at").alias("__at")), "dropped")
-    return places.join(small_side(dropped), "__at", "left_anti").select("__row.*")
+    return beside(places, dropped, ["__at"], "__at.file", "left_anti").select("__row.*")

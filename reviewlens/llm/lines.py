@@ -9,8 +9,8 @@ key needs from other tasks, its number of documents there and the first task tha
 task. The result is a bitmap of kept lines for each document, compressed, in place of its text.
 
 A key's hash is a 128-bit BLAKE2b. Nulls: a null text is an empty one, which is one empty line; a null
-identifier is the smallest. Every row is a document of its own; of rows with equal identifiers the one
-stored last counts as the larger. A key that a document holds several times counts once, and all its lines
+identifier is the smallest. Every row is a document of its own; of rows with equal identifiers one counts as
+the largest, in every run the same. A key that a document holds several times counts once, and all its lines
 stay or go together. An empty table gives an empty result.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.places import field, located, small_side
+from reviewlens.llm.places import beside, field, located
 from reviewlens.sources.files import store
 
 # Code points a key must have, and documents that must hold it, for its lines to go.
@@ -165,9 +165,8 @@ def _dropped(texts: DataFrame, least_characters: int, least_documents: int) -> D
 
 
 def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, f, row and the text as bytes. A file is named by a hash; a corpus has far too few files for
-    two to share one."""
-    at = [F.xxhash64("__at.file").alias("f"), F.col("__at.row").alias("row")]
+    """doc_id, f, row and the text as bytes."""
+    at = [F.col("__at.file").alias("f"), F.col("__at.row").alias("row")]
     body = F.coalesce(field(text).cast("string"), F.lit("")).cast("binary").alias("text")
     return located(docs).select(field(key).alias("doc_id"), *at, body)
 
@@ -198,7 +197,7 @@ def _marked(placed: DataFrame, least_characters: int, least_documents: int) -> D
     text = F.col("text").cast("string")
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines")
     every = placed.select("doc_id", "f", "row", n_lines)
-    listed = every.join(small_side(gone, 100 + 4 * F.size("lines")), ["f", "row"], "left")
+    listed = beside(every, gone, ["f", "row"], "f", "left", 100 + 4 * F.size("lines"))
     fields = [T.StructField(n, T.LongType()) for n in ("f", "row", "n_lines", "n_dropped")]
     schema = T.StructType([placed.schema["doc_id"], *fields, T.StructField("keep", T.BinaryType())])
     return listed.select("doc_id", "f", "row", "n_lines", "lines").mapInArrow(_bitmaps, schema)
@@ -242,12 +241,11 @@ def drop_repeated_lines(
 ) -> DataFrame:
     """For each row of `docs`: doc_id, n_lines, n_dropped and kept, its bytes without the lines that go.
 
-    Bitmaps go to the texts, and only those of documents that lose a line: the text of the others is
-    shuffled only where the list of bitmaps is too large to broadcast.
+    Bitmaps go to the texts, and only those of documents that lose a line; no text is shuffled.
     """
     placed = _placed(docs, key, text)
     marks = store(_marked(placed, least_characters, least_documents), "bitmaps").where("n_dropped > 0").select("f", "row", "keep")
-    joined = placed.join(small_side(marks, 100 + F.length("keep")), ["f", "row"], "left").select("doc_id", "text", "keep")
+    joined = beside(placed, marks, ["f", "row"], "f", "left", 100 + F.length("keep")).select("doc_id", "text", "keep")
     fields = [T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped")]
     schema = T.StructType([placed.schema["doc_id"], *fields, T.StructField("kept", T.BinaryType())])
     return joined.mapInArrow(_kept, schema)

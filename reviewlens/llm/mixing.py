@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.places import field, located, small_side
+from reviewlens.llm.places import beside, field, located
 from reviewlens.sources.files import store
 
 # What a word is.
@@ -152,5 +152,5 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     places = located(docs)
     emitted = _taken(places, key, text, source, **options).where("copies > 0")
     emitted = store(emitted.select(F.col("at").alias("__at"), F.col("copies").alias("__copies")), "copies")
-    chosen = places.join(small_side(emitted), "__at")
+    chosen = beside(places, emitted, ["__at"], "__at.file")
     return chosen.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")

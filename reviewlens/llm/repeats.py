@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.places import field, located, small_side
+from reviewlens.llm.places import beside, field, located, small_side
 from reviewlens.sources.files import store
 
 LENGTH = 200
@@ -409,7 +409,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, mo
     wanted = wanted.groupBy("f", "row").agg(F.collect_list(F.struct("first", "n", "at", "anchor", "copies", "split")).alias("wanted"))
     wanted = store(wanted, "wanted")
     cut_schema = f"anchor bigint, copies bigint, {_PLACE}, first int, at int, w1 bigint, w2 bigint, bytes binary"
-    cut = texts.join(small_side(wanted, 100 + 56 * F.size("wanted")), ["f", "row"]).select("f", "row", "text", "wanted")
+    cut = beside(texts, wanted, ["f", "row"], "f", row_bytes=100 + 56 * F.size("wanted")).select("f", "row", "text", "wanted")
     cut = store(cut.mapInArrow(lambda b: _cut(b, length), cut_schema), "cut")
 
     strings = cut.where(F.col("anchor").isNotNull()).select("anchor", "copies", "f", "row", "first", "at", "bytes")
@@ -439,14 +439,13 @@ def remove_repeats(
     that repeated windows cover; null for none) and kept, the bytes that are left."""
     places = located(docs)
     body = F.coalesce(field(text).cast("string"), F.lit("")).cast("binary").alias("text")
-    # A file is named by a hash here; a corpus has far too few files for two to share one.
-    placed = places.select(field(key).alias("doc_id"), F.xxhash64("__at.file").alias("f"), F.col("__at.row").alias("row"), body)
+    placed = places.select(field(key).alias("doc_id"), F.col("__at.file").alias("f"), F.col("__at.row").alias("row"), body)
     ranges = repeated_ranges(placed.select("f", "row", "text"), length, gram, most)
     gathered = ranges.groupBy("f", "row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     spans = gathered.mapInArrow(
         lambda b: _merged(b, length), f"{_PLACE}, spans array<struct<start: int, end: int>>"
     )
     spans = store(spans, "spans")
-    joined = placed.join(small_side(spans, 100 + 24 * F.size("spans")), ["f", "row"], "left").select("doc_id", "text", "spans")
+    joined = beside(placed, spans, ["f", "row"], "f", "left", 100 + 24 * F.size("spans")).select("doc_id", "text", "spans")
     schema = T.StructType([*joined.schema, T.StructField("kept", T.BinaryType())])
     return joined.mapInArrow(_kept, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.llm.components import components
-from reviewlens.llm.places import field, located, small_side
+from reviewlens.llm.places import beside, field, located
 from reviewlens.sources.files import store
 
 SHINGLE_WORDS = 4
@@ -180,7 +180,7 @@ def drop_near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE_WORDS, radius: int = RADIUS
 ) -> DataFrame:
     """The rows of `docs` that stay, one of each component: the one with the smallest identifier, a null
-    one last, and of those the one stored first."""
+    one last, and of those one, in every run the same."""
     places = located(docs)
     body = places.select(F.col("__at").alias("at"), field(key).alias("doc_id"), field(text).alias("__body"))
     rows = store(fingerprints(body, "__body", width), "prints")
@@ -188,4 +188,4 @@ def drop_near_duplicates(
     placed = _components_of(rows, radius, least)
     dropped = placed.where(F.col("at") != F.col("least.at")).select(F.col("at").alias("__at"))
     dropped = store(dropped, "dropped")
-    return places.join(small_side(dropped), "__at", "left_anti").select("__row.*")
+    return beside(places, dropped, ["__at"], "__at.file", "left_anti").select("__row.*")
