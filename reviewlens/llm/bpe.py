@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Spaces, spelt out as libraries differ on them.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Letters and numbers of Unicode versions after the one that tokenizers knows, by their
 # first and last code point. To it they are neither.
