@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from reviewlens.functions.text import LINE_BREAK, PUNCTUATION, WHITESPACE
+from reviewlens.functions.text import CENSORED, FILE_NAME, LINE_BREAK, NUMBER, PUNCTUATION, WHITESPACE
 
 
 def _literal(text: str) -> str:
@@ -16,6 +16,8 @@ def _literal(text: str) -> str:
 def definitions() -> dict[str, str]:
     """The body of each function, by its head."""
     spaced = f"replace(t, {_literal(LINE_BREAK)}, ' ')"
+    censored = f"endswith(w, '*') AND rlike(w, {_literal(CENSORED)})"
+    before, after = map(_literal, FILE_NAME)
     return {
         "review_text(t STRING) RETURNS STRING": (
             f"lower(regexp_replace(regexp_replace({spaced}, {_literal(WHITESPACE)}, ' '), {_literal(PUNCTUATION)}, ''))"
@@ -23,16 +25,14 @@ def definitions() -> dict[str, str]:
         "review_words(t STRING) RETURNS ARRAY<STRING>": (
             f"array_remove(split(lower(regexp_replace({spaced}, {_literal(PUNCTUATION)}, '')), {_literal(WHITESPACE)}), '')"
         ),
-        "is_censored_word(w STRING) RETURNS BOOLEAN": f"endswith(w, '*') AND rlike(w, {_literal('^[a-z]' + chr(92) + '*+$')})",
-        "is_number_word(w STRING) RETURNS BOOLEAN": "rlike(w, '^[0-9]+$')",
+        "is_censored_word(w STRING) RETURNS BOOLEAN": censored,
+        "is_number_word(w STRING) RETURNS BOOLEAN": f"rlike(w, {_literal(NUMBER)})",
         "is_telling_word(w STRING) RETURNS BOOLEAN": (
-            "((w >= 'a' AND w < '{') OR (w >= '0' AND w < ':')) AND length(w) <> 1 AND NOT "
-            f"(endswith(w, '*') AND rlike(w, {_literal('^[a-z]' + chr(92) + '*+$')}))"
+            f"((w >= 'a' AND w < '{{') OR (w >= '0' AND w < ':')) AND length(w) <> 1 AND NOT ({censored})"
         ),
         "category_spelling(c STRING) RETURNS STRING": "trim(regexp_replace(c, '[_& ]+', ' '))",
         "category_of_file(name STRING, marketplace STRING) RETURNS STRING": (
-            "nullif(replace(regexp_extract(name, concat('^[a-z]+_reviews_', marketplace, "
-            f"{_literal('_(.+)_v' + chr(92) + 'd+_' + chr(92) + 'd+' + chr(92) + '.tsv' + chr(92) + '.gz$')}), 1), '_', ' '), '')"
+            f"nullif(replace(regexp_extract(name, concat({before}, marketplace, {after}), 1), '_', ' '), '')"
         ),
     }
 

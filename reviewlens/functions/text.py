@@ -16,6 +16,10 @@ WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 LINE_BREAK = "<br />"
 PUNCTUATION = "[,.!?']+"
 
+# A word that is blotted out, and one that is a number.
+CENSORED = r"^[a-z]\*+$"
+NUMBER = "^[0-9]+$"
+
 
 def clean_text(text: Column) -> Column:
     """Lower-case text without line break tags, `, . ! ?` or apostrophes, any whitespace one space."""
@@ -54,12 +58,12 @@ def starts_alphanumeric(word: Column) -> Column:
 
 def is_censored(word: Column) -> Column:
     """One letter followed by nothing but asterisks."""
-    return word.endswith("*") & word.rlike(r"^[a-z]\*+$")
+    return word.endswith("*") & word.rlike(CENSORED)
 
 
 def is_number(word: Column) -> Column:
     """Digits only."""
-    return word.rlike("^[0-9]+$")
+    return word.rlike(NUMBER)
 
 
 def is_telling(word: Column, drop_numbers: bool = False) -> Column:
@@ -101,10 +105,14 @@ def normalise_category(category: Column) -> Column:
     return F.trim(F.regexp_replace(category, "[_& ]+", " "))
 
 
+# The name of a review file, before and after its marketplace.
+FILE_NAME = (r"^[a-z]+_reviews_", r"_(.+)_v\d+_\d+\.tsv\.gz$")
+
+
 def category_from_file_name(name: Column, marketplace: str = "us") -> Column:
     """`Home Improvement` for `<dataset>_reviews_us_Home_Improvement_v1_00.tsv.gz`.
 
     Null for a file of another marketplace or another naming.
     """
-    pattern = rf"^[a-z]+_reviews_{marketplace}_(.+)_v\d+_\d+\.tsv\.gz$"
-    return F.nullif(F.replace(F.regexp_extract(name, pattern, 1), F.lit("_"), F.lit(" ")), F.lit(""))
+    found = F.regexp_extract(name, marketplace.join(FILE_NAME), 1)
+    return F.nullif(F.replace(found, F.lit("_"), F.lit(" ")), F.lit(""))
