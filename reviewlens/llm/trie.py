@@ -63,7 +63,8 @@ def turns(conversations: DataFrame) -> DataFrame:
     rows = conversations.where(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn"), name, word_count(text).alias("words")
     )
-    return numbered(rows, "conv_id", [F.asc_nulls_first("turn"), F.asc("name")], "at").drop("turn")
+    # Stored, as ranges are found by a reading of their own: texts are hashed once.
+    return numbered(store(rows, "named-turns"), "conv_id", [F.asc_nulls_first("turn"), F.asc("name")], "at").drop("turn")
 
 
 def rebuilt(own: DataFrame) -> tuple[DataFrame, DataFrame]:
