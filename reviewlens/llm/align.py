@@ -18,7 +18,6 @@ empty result.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator, Sequence
 from functools import cache
 
@@ -29,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.llm import bpe
+from reviewlens.llm.encoder import Encoder
 from reviewlens.llm.places import field, located, small_side
 from reviewlens.sources.files import store
 
@@ -58,34 +58,15 @@ class Tokens:
 
 
 class ByteTokenizer:
-    """Byte-level BPE in the tokenizers library's JSON form; special tokens' strings are plain text.
-
-    Where every token's id follows from the rank of the merge that makes it, tiktoken encodes the texts on
-    whose letters and numbers all libraries agree, those up to U+024F, if no word of them is very long.
-    """
+    """Byte-level BPE in the tokenizers library's JSON form; special tokens' strings are plain text."""
 
     def __init__(self, serialised: str):
-        import tiktoken
-
-        parsed = json.loads(serialised)
-        self.vocabulary = known = bpe.Vocabulary(json.dumps(parsed | {"added_tokens": []}))
-        self.tokens = Tokens(known.bytes_of)
-        merged = [i for _, i in sorted(known.merges.values())]
-        by_rank = merged == list(range(256, 256 + len(merged))) and sorted(known.base) == list(range(256))
-        ranks = {known.bytes_of[i]: i for i in range(256 + len(merged))} if by_rank else {}
-        self.fast = None
-        if len(ranks) == 256 + len(merged):
-            self.fast = tiktoken.Encoding("bytes", pat_str=bpe.PIECES, mergeable_ranks=ranks, special_tokens={})
+        vocabulary = bpe.Vocabulary(json.dumps(json.loads(serialised) | {"added_tokens": []}))
+        self.encoder = Encoder(vocabulary)
+        self.tokens = Tokens(vocabulary.bytes_of)
 
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        texts = [" " + text for text in texts]
-        odd = [i for i, text in enumerate(texts) if self.fast is None or _ODD(text)]
-        found = dict(zip(odd, self.vocabulary.encode_arrays([texts[i] for i in odd])))
-        return [found[i] if i in found else np.array(self.fast.encode_ordinary(t), np.int32) for i, t in enumerate(texts)]
-
-
-# What is left to the vocabulary itself: characters beyond U+024F, and words of over 1,000 characters.
-_ODD = re.compile(r"[^\x00-\u024f]|[^ \n]{1000}").search
+        return self.encoder.encode_arrays([" " + text for text in texts])
 
 
 class PieceTokenizer:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reviewlens.llm.bpe import Vocabulary, shared, strings
+from reviewlens.llm.bpe import Vocabulary, strings
+from reviewlens.llm.encoder import Encoder
 
 # Bytes of text behind the pieces of a shard: about half a million tokens, whatever the corpus.
 SHARD_BYTES = 2 << 20
@@ -100,7 +101,7 @@ def pack(
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()[0]
     n_shards = size // SHARD_BYTES + 1
-    at_hand = shared(spark, vocabulary)
+    at_hand = spark.sparkContext.broadcast(Encoder(vocabulary))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     kind = number_type(max(vocabulary.bytes_of))
     key_type = docs.schema[key].dataType
@@ -124,7 +125,7 @@ def pack(
 
 
 def _pieces(
-    batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, length: int, kind: np.dtype
+    batches: Iterator[pa.RecordBatch], encoder: Encoder, length: int, kind: np.dtype
 ) -> Iterator[pa.RecordBatch]:
     """doc_id, again (how many rows of the batch had the identifier before), piece, n and ids of every piece."""
     for batch in batches:
@@ -132,7 +133,7 @@ def _pieces(
         for start in range(0, batch.num_rows, 512):
             part = batch.slice(start, 512)
             owners, times, numbers, sizes, ids = [], [], [], [], []
-            encoded_texts = vocabulary.encode_arrays(strings(part.column(1)))
+            encoded_texts = encoder.encode_arrays(strings(part.column(1)))
             for owner, (key, found) in enumerate(zip(part.column(0).to_pylist(), encoded_texts)):
                 again = met[key]
                 met[key] += 1

@@ -1,5 +1,6 @@
 """Alignment of two tokenizers against a walk over bytes."""
 
+import pickle
 import random
 from collections import Counter
 
@@ -9,7 +10,8 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from reviewlens.llm import align, places
+from reviewlens.llm import align, places, queries
+from reviewlens.llm.encoder import Encoder
 from reviewlens.sources.files import store
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -125,8 +127,17 @@ def test_both_ways_of_encoding_agree(ours, libraries, monkeypatch):
     given += ["".join(r.choice("ab '\n\t\u0085\xa0é0²½!?\x1c\x1fÀ") for _ in range(r.randrange(60))) for _ in range(3000)]
     given += ["".join(chr(r.randrange(0x250)) for _ in range(r.randrange(60))) for _ in range(3000)]
     given += ["x" * 5000 + " y", "'s 'll 'LL it's", "<|endoftext|>"]
-    assert tokenizer.fast is not None
+    assert tokenizer.encoder._fast is not None
     found = tokenizer.encode(given)
     assert [f.tolist() for f in found[-4000:]] == [libraries[0].encode(" " + t, add_special_tokens=False).ids for t in given[-4000:]]
-    monkeypatch.setattr(tokenizer, "fast", None)
+    monkeypatch.setattr(tokenizer.encoder, "_fast", None)
     assert all(map(np.array_equal, found, tokenizer.encode(given)))
+
+
+def test_an_encoder_knows_special_tokens(libraries):
+    """They are taken for what they are where the vocabulary has them, also after a journey."""
+    vocabulary = queries.vocabulary()
+    moved = pickle.loads(pickle.dumps(Encoder(vocabulary)))
+    given = ["<|endoftext|>", "a<|endoftext|> b", "plain text", "漢 <|endoftext|>", "", "x" * 3000]
+    for encoder in (Encoder(vocabulary), moved):
+        assert [ids.tolist() for ids in encoder.encode_arrays(given)] == vocabulary.encode_all(given)
