@@ -127,7 +127,7 @@ def _category_from_read_files(spark: SparkSession, folder: str) -> DataFrame:
 def _tsv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of files some of which have a field too many or a rating in words: reviews and bad lines as they
     were set apart, and as they were counted on the way."""
-    votes = tables.as_reviews(tables.votes_table(spark, folder))
+    votes = tables.as_reviews(files.spread(tables.votes_table(spark, folder)))
     customer = F.col("customer_id").cast("bigint")
     fields = {f.name: F.coalesce(F.col(f.name).cast("string"), F.lit("")) for f in REVIEW_SCHEMA}
     fields["star_rating"] = F.when(customer % 89 == 1, "five").otherwise(fields["star_rating"])
@@ -207,7 +207,8 @@ def _predict_rating_by_number(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sql_top_words(spark: SparkSession, folder: str) -> DataFrame:
-    """`top_words` in SQL, with the functions of this package and its parameters."""
+    """`top_words` in SQL, with the functions of this package and its parameters. An outer explode, as Spark
+    would otherwise test the words of each text before it, and take the text apart twice."""
     sql.register(spark)
     tables.spread_text(spark, folder).createOrReplaceTempView("texts")
     return spark.sql(
@@ -215,7 +216,7 @@ def _sql_top_words(spark: SparkSession, folder: str) -> DataFrame:
         WITH split AS (
           SELECT product_category, star_rating, review_words(review_body) AS words
           FROM texts WHERE star_rating BETWEEN 1 AND 5),
-        exploded AS (SELECT product_category, star_rating, explode(words) AS word FROM split),
+        exploded AS (SELECT product_category, star_rating, explode_outer(words) AS word FROM split),
         counted AS (
           SELECT product_category, star_rating, word, count(*) AS n_words FROM exploded
           WHERE is_telling_word(word) AND NOT array_contains(:stop_words, word)
