@@ -186,7 +186,7 @@ def _coded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The texts by number, and their dictionary."""
     texts = tables.spread_text(spark, folder)
     listed = files.store(dictionary.word_dictionary(words.word_counts(texts, by=["star_rating"])), "dictionary")
-    return files.store(dictionary.code_reviews(texts, listed), "coded"), listed
+    return dictionary.code_reviews(texts, listed), listed
 
 
 def _top_words_by_number(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.text import words
-from reviewlens.operators.sentiment import WEIGHT, broadcast_bytes
+from reviewlens.operators.sentiment import LONGEST_FREQUENT_WORD, WEIGHT, WORD_BYTES, broadcast_bytes
 from reviewlens.operators.words import BY, N, STAR, count_by_rating, telling_words
 from reviewlens.schema import is_rating
 from reviewlens.sources.files import MAX_BROADCAST_BYTES, store
@@ -61,24 +61,43 @@ def code_reviews(
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """row_id, `others` and word_id for every word of every review; a review without known words has one
-    row of no word. Store it: `row_id` is given as it is computed.
+    row of no word. It is stored, as `row_id` is given as it is computed.
 
-    A stored dictionary within `max_broadcast_bytes` is broadcast, and nothing is shuffled. A larger one is
-    joined by a shuffle of the words, the only one that moves them; adaptive execution splits a word that
-    makes up much of the texts.
+    A stored dictionary within `max_broadcast_bytes` is broadcast, and nothing is shuffled. Of a larger one
+    the most frequent words are broadcast, which are most of any text. What they leave is joined by a shuffle,
+    the only one that moves words; adaptive execution splits a word that makes up much of it.
     """
     rows = reviews.select(F.monotonically_increasing_id().alias(ROW), *others, words(F.col(text)).alias("words"))
     found = rows.select(ROW, *others, F.posexplode_outer("words").alias("at", "word"))
-    size = dictionary.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
-    lookup = dictionary.select("word", ID)
-    if broadcast_bytes(*size) <= max_broadcast_bytes:
-        coded = found.join(F.broadcast(lookup), "word", "left")
-    else:
-        # Numbered by then: the place a row is read at must not change between the parts of the join.
-        coded = store(found, "words").join(lookup.hint("merge"), "word", "left")
     # The first word stands for the review if it is unknown; other unknown words go.
     first = F.coalesce("at", F.lit(0)) == 0
-    return coded.where(first | F.col(ID).isNotNull()).select(ROW, *others, ID)
+    columns = [ROW, *others, ID]
+    usual = _broadcast_words(dictionary, max_broadcast_bytes)
+    lookup = dictionary.select("word", ID)
+    if usual is None:
+        coded = found.join(F.broadcast(lookup), "word", "left")
+        return store(coded.where(first | F.col(ID).isNotNull()).select(columns), "coded")
+    # Numbered by then: the place a row is read at must not change between the parts of the join.
+    met = found.join(F.broadcast(lookup.where(usual)), "word", "left")
+    missed = F.when(F.col(ID).isNull(), F.nullif("word", F.lit("")))
+    met = met.select(*columns, first.alias("__first"), missed.alias("word"))
+    met = store(met.where(F.col("__first") | F.col("word").isNotNull() | F.col(ID).isNotNull()), "words")
+    rare = met.where(F.col("word").isNotNull()).drop(ID).join(lookup.where(~usual).hint("merge"), "word", "left")
+    rare = store(rare.where(F.col("__first") | F.col(ID).isNotNull()).select(columns), "rare-words")
+    return met.where(F.col("word").isNull()).select(columns).unionByName(rare)
+
+
+def _broadcast_words(dictionary: DataFrame, max_bytes: int) -> Column | None:
+    """Which words of a dictionary are broadcast if not all of them are within `max_bytes`: as many of the
+    most frequent ones as are, by halves of what it would take without their letters."""
+    most = max(0, max_bytes) // WORD_BYTES
+    # The last is within the bound for any words, as none is longer.
+    usual = [(F.col(ID) < (most >> half)) & (F.length("word") <= LONGEST_FREQUENT_WORD) for half in range(4)]
+    sizes = [F.struct(F.count_if(u), F.coalesce(F.sum(F.when(u, F.octet_length("word"))), F.lit(0))) for u in (F.lit(True), *usual)]
+    whole, *parts = dictionary.agg(*sizes).first()
+    if broadcast_bytes(*whole) <= max_bytes:
+        return None
+    return next((u for u, size in zip(usual, parts) if broadcast_bytes(*size) <= max_bytes), usual[-1])
 
 
 def _known(coded: DataFrame) -> DataFrame:
@@ -102,6 +121,21 @@ def spelt(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     return named.select(*["word" if c == ID else c for c in rows.columns])
 
 
+def _join_by_number(rows: DataFrame, lookup: DataFrame, how: str, max_broadcast_bytes: int) -> DataFrame:
+    """`rows` joined with `lookup`, which is stored and has a number once; `how` is left or left_semi.
+
+    A lookup within `max_broadcast_bytes` is broadcast. Of a larger one the smallest numbers are, those of the
+    most frequent words; only rows of others are shuffled.
+    """
+    most = max(0, max_broadcast_bytes) // ID_BYTES
+    if lookup.count() <= most:
+        return rows.join(F.broadcast(lookup), ID, how)
+    usual = F.col(ID) < most
+    rare = rows.where(~usual).join(lookup.where(~usual).hint("merge"), ID, how)
+    others = rows.where(F.col(ID).isNull() | usual)
+    return others.join(F.broadcast(lookup.where(usual)), ID, how).unionByName(rare)
+
+
 def coded_top_words(
     counts: DataFrame,
     dictionary: DataFrame,
@@ -128,9 +162,9 @@ def coded_predictions(
 ) -> DataFrame:
     """`predict_ratings` by number: `key` and predicted_rating of every coded review.
 
-    `weights` is a stored table; within `max_broadcast_bytes` it is broadcast, as numbers.
+    `weights` is a stored table; within `max_broadcast_bytes` it is broadcast, as numbers. Of a larger one the
+    smallest numbers are, those of the most frequent words; only what they leave is shuffled by number.
     """
-    lookup = weights.select(ID, WEIGHT)
-    side = F.broadcast(lookup) if lookup.count() * ID_BYTES <= max_broadcast_bytes else lookup.hint("merge")
+    scored = _join_by_number(coded.select(ROW, key, ID), weights.select(ID, WEIGHT), "left", max_broadcast_bytes)
     mean = F.try_divide(F.sum(WEIGHT), F.count(WEIGHT)).alias("predicted_rating")
-    return coded.join(side, ID, "left").groupBy(ROW, key).agg(mean).select(key, "predicted_rating")
+    return scored.groupBy(ROW, key).agg(mean).select(key, "predicted_rating")

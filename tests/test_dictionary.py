@@ -94,3 +94,44 @@ def test_nothing(reviews):
     coded = store(dictionary.code_reviews(table, listed, others=["review_id", *words.BY]), "coded")
     assert dictionary.coded_top_words(dictionary.coded_word_counts(coded), listed).collect() == []
     assert files.small(listed, 10) is not None
+
+
+def shuffled_rows(df):
+    """How many rows the shuffles of a frame write."""
+    from tests.test_plans import nodes_of
+
+    df.collect()
+    nodes = [n for n in nodes_of(df._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    return sum(n.metrics().apply("shuffleRecordsWritten").value() for n in nodes)
+
+
+@pytest.fixture
+def unequal(reviews):
+    """Texts of a few common words, and a word of their own each."""
+    rows = [("A", 1 + i % 5, None, f"common words make most of it own{i}", str(i // 2)) for i in range(300)]
+    rows += [("B", 1, None, None, "null"), ("B", 2, None, "", "empty"), ("B", 3, None, " first own7 common", "own")]
+    return store(reviews(rows, COLUMNS + ", review_id string"), "reviews")
+
+
+def test_frequent_words_are_not_shuffled_to_be_coded(unequal, monkeypatch):
+    listed = store(dictionary.word_dictionary(words.word_counts(unequal)), "dictionary")
+    rows = [sorted(map(str, dictionary.code_reviews(unequal, listed).drop("row_id").collect()))]
+    sent = []
+    monkeypatch.setattr(dictionary, "store", lambda df, name: sent.append(shuffled_rows(df)) or store(df, name))
+    coded = dictionary.code_reviews(unequal, listed, max_broadcast_bytes=4000)
+    # The words that are rare, and the part of the dictionary they are looked up in.
+    assert 0 < sum(sent) < 2 * 330
+    rows.append(sorted(map(str, coded.drop("row_id").collect())))
+    assert rows[0] == rows[1]
+    assert coded.select("row_id").distinct().count() == unequal.count()
+
+
+def test_frequent_words_are_not_shuffled_to_be_scored(unequal):
+    listed = store(dictionary.word_dictionary(words.word_counts(unequal)), "dictionary")
+    coded = store(dictionary.code_reviews(unequal, listed), "coded")
+    weights = store(dictionary.coded_weights(coded), "weights")
+    limits = [64 << 20, 50 * dictionary.ID_BYTES, -1]
+    scored = [dictionary.coded_predictions(coded, weights, max_broadcast_bytes=limit) for limit in limits]
+    rows = [sorted(str((r[0], r[1] and round(r[1], 9))) for r in df.collect()) for df in scored]
+    assert rows[0] == rows[1] == rows[2]
+    assert shuffled_rows(scored[1]) < shuffled_rows(scored[2]) / 2
