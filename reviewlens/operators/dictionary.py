@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.functions.text import words
+from reviewlens.operators.frequent import ROW_BYTES
 from reviewlens.operators.sentiment import LONGEST_FREQUENT_WORD, WEIGHT, WORD_BYTES, broadcast_bytes
 from reviewlens.operators.words import BY, N, STAR, count_by_rating, telling_words
 from reviewlens.schema import is_rating
-from reviewlens.sources.files import MAX_BROADCAST_BYTES, store
+from reviewlens.sources.files import MAX_BROADCAST_BYTES, small, store
 
 ID = "word_id"
 
@@ -143,6 +144,7 @@ def coded_top_words(
     by: Sequence[str] = BY,
     stop_words: Iterable[str] | DataFrame | None = None,
     drop_numbers: bool = False,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """`rank_words` of `telling_words`, from counts by number.
 
@@ -150,9 +152,9 @@ def coded_top_words(
     among them, are spelt: the words of a tie decide who is in.
     """
     telling = store(telling_words(dictionary.select("word", ID), stop_words, drop_numbers), "telling")
-    kept = counts.join(telling.select(ID), ID, "left_semi")
+    kept = _join_by_number(counts, telling.select(ID), "left_semi", max_broadcast_bytes)
     high = kept.withColumn("rank", F.rank().over(Window.partitionBy(*by).orderBy(F.desc(N)))).where(F.col("rank") <= k)
-    named = high.drop("rank").join(telling, ID)
+    named = telling.join(small(store(high.drop("rank"), "high"), ROW_BYTES), ID)
     order = Window.partitionBy(*by).orderBy(F.desc(N), "word")
     return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "rank", "word", N)
 

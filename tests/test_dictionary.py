@@ -135,3 +135,21 @@ def test_frequent_words_are_not_shuffled_to_be_scored(unequal):
     rows = [sorted(str((r[0], r[1] and round(r[1], 9))) for r in df.collect()) for df in scored]
     assert rows[0] == rows[1] == rows[2]
     assert shuffled_rows(scored[1]) < shuffled_rows(scored[2]) / 2
+
+
+def test_counts_are_not_shuffled_to_find_telling_words(unequal, spark, monkeypatch):
+    counts = store(words.word_counts(unequal), "counts")
+    listed = store(dictionary.word_dictionary(counts), "dictionary")
+    by_number = store(dictionary.coded_word_counts(dictionary.code_reviews(unequal, listed)), "by-number")
+    expected = found(words.rank_words(words.telling_words(counts, STOP), 2))
+    for limit in (-1, 50 * dictionary.ID_BYTES):
+        assert found(dictionary.coded_top_words(by_number, listed, 2, stop_words=STOP, max_broadcast_bytes=limit)) == expected
+    sent = []
+    monkeypatch.setattr(dictionary, "store", lambda df, name: sent.append(shuffled_rows(df)) or store(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        top = dictionary.coded_top_words(by_number, listed, 2, stop_words=STOP)
+        assert sum(sent) + shuffled_rows(top) < by_number.count() / 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found(top) == expected
